@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, token_counts
+from . import decontaminate, near_dedup, quality_rules, source_mix, token_counts
 
-MODULES = (decontaminate, token_counts, near_dedup)
+MODULES = (source_mix, decontaminate, token_counts, near_dedup, quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
