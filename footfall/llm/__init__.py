@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, near_dedup, quality_rules, source_mix, token_counts
+from . import decontaminate, language_id, near_dedup, quality_rules, source_mix, token_counts, toxicity
 
-MODULES = (source_mix, decontaminate, token_counts, language_id, near_dedup, quality_rules)
+MODULES = (source_mix, toxicity, decontaminate, token_counts, language_id, near_dedup, quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
