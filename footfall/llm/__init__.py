@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lm_scoring, near_dedup, quality_rules, source_mix, token_counts, toxicity
+from . import decontaminate, importance, language_id, license_scan, lm_scoring, near_dedup, quality_rules, source_mix, token_counts, toxicity
 
-MODULES = (source_mix, lm_scoring, toxicity, decontaminate, token_counts, language_id, near_dedup, quality_rules)
+MODULES = (license_scan, source_mix, importance, lm_scoring, toxicity, decontaminate, token_counts, language_id, near_dedup, quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
