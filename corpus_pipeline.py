@@ -42,8 +42,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
-    return _keep(docs, near_duplicates(docs).where("kept"))
+    """One document of each near-duplicate class stays, and one row of each id."""
+    return _keep(docs, near_duplicates(docs).where("kept")).dropDuplicates(["doc_id"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
