@@ -23,6 +23,8 @@ from ._text import SPACE, blocks, gram_hash, words
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 PRIOR = 0.5
+#: Target texts that the target model is fitted on, those of least hash of the id; the raw model counts all texts.
+TARGETS = 20_000
 #: Of the search for the k-th key: cells of each round, and rows that are put in order at the end.
 CELLS, ORDERED = 2048, 10_000
 
@@ -119,7 +121,9 @@ def resample(docs: DataFrame, good: DataFrame, share: float | None = None, seed:
         share = marks.where("good IN (0, 1)").agg(F.avg("good")).first()[0]
         share = 1.0 if share is None else share
     marked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    weighed = weigh(docs, log_ratios(marked.join(marks, "doc_id", "left")))
+    # At most TARGETS ids, so that they can be broadcast and no text is shuffled.
+    target = marks.where("good = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGETS).select("doc_id", "good")
+    weighed = weigh(docs, log_ratios(marked.join(F.broadcast(target), "doc_id", "left")))
     draw = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     rows, _ = cut(weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(draw))))
     return top_k(rows, math.floor(share * rows.count() + 0.5))
