@@ -18,7 +18,7 @@ from ._store import cut
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Measures, and the least distance above a group's median at which they count against a document.
-MARGINS = {"symbol_share": 0.02, "shout_share": 0.02, "upper_share": 0.25, "dup_line_share": 0.25, "repeat_share": 0.15}
+MARGINS = {"symbol_share": 0.02, "shout_share": 0.02, "upper_share": 0.25, "dup_line_share": 0.45, "repeat_share": 0.45}
 #: Clean texts this short have few characters to take shares of.
 MIN_WORDS = 50
 SPREADS = 3.0
