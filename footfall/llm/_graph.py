@@ -24,13 +24,15 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     links are allowed; no links give no rows.
     """
     spark = links.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one, path = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _checksum(one)
     while seen[0]:
         both = one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # Dealt out anew, so that the join shuffles both sides itself and a node with many links can be split.
+        least = both.groupBy("u").agg(F.min("v").alias("m")).repartition(parts)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).repartition(parts)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         two, to = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = _checksum(two)
