@@ -54,16 +54,12 @@ class PieceCounter:
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.tokenizer, self.exact, self.special = None, False, None
 
-    def _fill(self, words: set[str]) -> dict[str, int]:
-        new, counted = list(words), {}
+    def _fill(self, words: set[str]) -> None:
+        new = list(words)
         for lo in range(0, len(new), 1 << 16):
             some = new[lo : lo + (1 << 16)]
             at = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False).word_ids
-            counted.update(zip(some, np.bincount(at, minlength=len(some)).tolist(), strict=True))
-        if len(self.pieces) + len(counted) > CACHE_ROWS:
-            self.pieces.clear()
-        self.pieces.update(counted)
-        return counted
+            self.pieces.update(zip(some, np.bincount(at, minlength=len(some)).tolist(), strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text."""
@@ -81,9 +77,10 @@ class PieceCounter:
         distinct = set().union(*parts) if parts else set()
         missing = distinct - self.pieces.keys()
         if missing:
-            counted = self._fill(missing)
-            if len(counted) != len(self.pieces) and not distinct <= self.pieces.keys():
-                self._fill(distinct)
+            if len(self.pieces) + len(missing) > CACHE_ROWS:
+                self.pieces.clear()
+                missing = distinct
+            self._fill(missing)
         pieces_of = self.pieces.__getitem__
         return [n + sum(map(pieces_of, p)) for n, p in zip(extra, parts, strict=True)]
 
