@@ -132,5 +132,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_SHARES = {"symbol_share": "n_symbols / greatest(word_chars, 1)", "shout_share": "n_shouts / greatest(word_chars, 1)", "upper_share": "n_upper / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)"}
+
+
+def _limit_sql(m: str) -> str:
+    """The threshold in SQL; the sketches are exact for groups of up to SKETCH_K documents."""
+    low, mid, high = (f"CASE WHEN g.n < {MIN_GROUP} THEN a.{m}[{k}] ELSE g.{m}[{k}] END" for k in (1, 2, 3))
+    return f"greatest({high} + {SPREADS} * ({high} - {low}), {mid} + {MARGINS[m]}) AS {m}_max"
+
+
+def _sketches_sql(by: str) -> str:
+    return f"SELECT {by}, count(*) AS n, {', '.join(f'quantile_disc({m}, [0.25, 0.5, 0.75]) AS {m}' for m in MARGINS)} FROM m WHERE n_words > 0 GROUP BY {by}"
+
+
+OP10_SQL = rf"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x{{20}}\x{{09}}-\x{{0D}}]+') AS w FROM documents),
+g3 AS (SELECT doc_id, i, w[i:i + 2] AS g FROM t, unnest(range(1, len(w) - 1)) AS x(i)),
+g2 AS (SELECT doc_id, i FROM g3 QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM g2, range(3) AS y(j) GROUP BY doc_id),
+c AS (SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x{{20}}\x{{09}}-\x{{0D}}]')) AS lines,
+  coalesce(r.n, 0) AS n_repeat_words, length(regexp_replace(array_to_string(w, ''), '\P{{Lu}}', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_shouts FROM t LEFT JOIN r USING (doc_id)),
+k AS (SELECT *, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM c),
+m AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _SHARES.items())} FROM k),
+g AS ({_sketches_sql("lang, source")}), a AS ({_sketches_sql("lang")}),
+l AS (SELECT g.lang, g.source, {', '.join(map(_limit_sql, MARGINS))} FROM g JOIN a ON g.lang IS NOT DISTINCT FROM a.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({' OR '.join(f'coalesce({n} > {n}_max, false)' for n in MARGINS)}) AS kept
+FROM m LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source
+"""
+
 QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_quality_rules": OP10_SQL}
