@@ -84,8 +84,12 @@ def route(bag: Column) -> tuple[Column, Column]:
     cut = F.transform(bag, lambda e: F.struct(F.substring(e["key"], 1, MAX_KEY).alias("key"), e["kind"].alias("kind"), e["value"].alias("value")))
     kept = F.filter(cut, lambda e: (e["key"] != "") & ~e["key"].startswith(RESERVED) & (e["kind"] != "null"))
 
+    # Keys of one object differ, so only cut ones can be equal.
+    may_meet = F.exists(bag, lambda e: F.char_length(e["key"]) > MAX_KEY)
+
     def last(entries: Column) -> Column:
-        return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries) + 1), lambda later: later["key"] == e["key"]))
+        alone = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries) + 1), lambda later: later["key"] == e["key"]))
+        return F.when(may_meet, alone).otherwise(entries)
 
     texts = last(F.filter(kept, lambda e: e["kind"] != "number"))
     finite = F.filter(kept, lambda e: (e["kind"] == "number") & F.coalesce(F.abs(e["value"].try_cast("double")) < float("inf"), F.lit(False)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,7 +85,8 @@ def parse(raw: DataFrame) -> DataFrame:
         .when(F.coalesce(_kind("timestamp") != "STRING", F.lit(False)), "timestamp")
         .when(F.col("_bag").isNotNull() & (entries.isNull() | ~F.schema_of_variant("_bag").startswith("OBJECT")), F.concat(bag, F.lit(" is an object")))
         .when(F.exists("_entries", lambda e: e["kind"] == "other"), F.concat(bag, F.lit(" hold scalars")))
-        .when(F.coalesce(~context_kind.startswith("OBJECT"), F.lit(False)), "context")
+        .when(context_kind.isNull(), None)
+        .when(~context_kind.startswith("OBJECT"), "context")
     )
     for name, most in _TEXTS.items():
         problem = problem.when(_bad_text(f"context.{name}", most), f"context.{name}")
@@ -120,35 +122,50 @@ def _rank(rows: DataFrame, keys: list[str], to: str) -> DataFrame:
     return joined.withColumn(to, F.col("_before") + F.col("_inside")).drop("_minute", "_inside", "_before")
 
 
+def _admit(group: pd.DataFrame) -> pd.DataFrame:
+    """The key sets of one event name that are refused, in order of their first arrival."""
+    known: set[str] = set()
+    refused = []
+    for keys in group.sort_values(["received_at", "event_id"])["keyset"]:
+        more = known.union(keys)
+        refused.append(len(more) > MAX_KEYS)
+        if not refused[-1]:
+            known = more
+    out = group.sort_values(["received_at", "event_id"])[["project_id", "event_name", "keyset"]]
+    return out[refused]
+
+
 def limited(parsed: DataFrame, known_names: DataFrame | None = None) -> DataFrame:
     """``parsed`` with ``limit``: what throttles a valid event, or null.
 
-    too_many_properties, then event_name_cardinality: the names of a project
-    in order of their first arrival, those stored before first. The keys of an
-    event name are counted in the same order: an event is throttled if a key
-    of its own comes after the first MAX_KEYS.
+    too_many_properties; event_name_cardinality: the names of a project in
+    order of their first arrival, those stored before first;
+    property_key_cardinality: an event whose keys, with those accepted for its
+    name before, are more than MAX_KEYS. As accepted keys only grow, a set of
+    keys that is refused once is refused for good, so only the first arrival
+    of each distinct set is decided one by one, and only for names that have
+    more than MAX_KEYS keys in all.
     """
-    fine = parsed.where("problem IS NULL AND NOT bot")
-    first = fine.where(F.col("n_properties") <= MAX_PROPERTIES).groupBy("project_id", "event_name").agg(F.min(F.struct("received_at", "event_id")).alias("at"), F.lit(0).alias("old"))
+    fine = parsed.where("problem IS NULL AND NOT bot").where(F.col("n_properties") <= MAX_PROPERTIES)
+    sets = fine.groupBy("project_id", "event_name", F.array_sort("keys").alias("keyset")).agg(F.min(F.struct("received_at", "event_id")).alias("at"))
+    first = sets.groupBy("project_id", "event_name").agg(F.min("at").alias("at"), F.lit(1).alias("old"))
     if known_names is not None:
-        old = known_names.select("project_id", "event_name").distinct().withColumn("was", F.lit(True))
-        first = first.join(old, ["project_id", "event_name"], "full_outer").select("project_id", "event_name", "at", F.when(F.col("was"), 0).otherwise(1).alias("old"))
+        was = known_names.select("project_id", "event_name").distinct().withColumn("was", F.lit(True))
+        first = first.join(was, ["project_id", "event_name"], "full_outer").select("project_id", "event_name", "at", F.when(F.col("was"), 0).otherwise(1).alias("old"))
     place = F.row_number().over(Window.partitionBy("project_id").orderBy("old", "at", "event_name"))
-    names = first.withColumn("name_place", place).select("project_id", "event_name", "name_place")
-    each = fine.where(F.col("n_properties") <= MAX_PROPERTIES).select("project_id", "event_name", F.struct("received_at", "event_id").alias("at"), F.explode("keys").alias("key"))
-    keys = each.groupBy("project_id", "event_name", "key").agg(F.min("at").alias("at"))
+    names = first.withColumn("name_place", place).where(F.col("name_place") > MAX_NAMES).select("project_id", "event_name", "name_place")
+    keys = sets.select("project_id", "event_name", F.explode("keyset").alias("key")).distinct()
     crowded = keys.groupBy("project_id", "event_name").agg(F.count("*").alias("n")).where(F.col("n") > MAX_KEYS).select("project_id", "event_name")
-    late = keys.join(crowded, ["project_id", "event_name"], "left_semi")
-    late = late.withColumn("place", F.row_number().over(Window.partitionBy("project_id", "event_name").orderBy("at", "key"))).where(F.col("place") > MAX_KEYS)
-    late = late.groupBy("project_id", "event_name").agg(F.collect_set("key").alias("late_keys"))
-    rows = parsed.join(names, ["project_id", "event_name"], "left").join(late, ["project_id", "event_name"], "left")
+    open_ = sets.join(crowded, ["project_id", "event_name"], "left_semi").select("project_id", "event_name", "keyset", "at.received_at", "at.event_id")
+    late = open_.groupBy("project_id", "event_name").applyInPandas(_admit, "project_id long, event_name string, keyset array<string>").withColumn("late", F.lit(True))
+    rows = parsed.withColumn("keyset", F.array_sort("keys")).join(names, ["project_id", "event_name"], "left").join(late, ["project_id", "event_name", "keyset"], "left")
     limit = (
         F.when(F.col("problem").isNotNull() | F.col("bot"), F.lit(None))
         .when(F.col("n_properties") > MAX_PROPERTIES, "too_many_properties")
-        .when(F.col("name_place") > MAX_NAMES, "event_name_cardinality")
-        .when(F.coalesce(F.arrays_overlap("keys", "late_keys"), F.lit(False)), "property_key_cardinality")
+        .when(F.col("name_place").isNotNull(), "event_name_cardinality")
+        .when(F.col("late"), "property_key_cardinality")
     )
-    return rows.withColumn("limit", limit).drop("name_place", "late_keys")
+    return rows.withColumn("limit", limit).drop("name_place", "late", "keyset")
 
 
 @dataclass(frozen=True)

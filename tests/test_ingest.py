@@ -79,8 +79,8 @@ def test_batches(send):
 def test_limits(send):
     done = send(*[{"event": f"e{i:04d}"} for i in range(1003)])
     assert outcomes(done).count("throttled") == 3
-    many = send({"properties": {str(i): i for i in range(251)}}, *[{"properties": {f"{j}-{i}": i for i in range(200)}} for j in range(3)], {"properties": {"0-0": 1}})
-    assert outcomes(many) == ["throttled", "accepted", "accepted", "throttled", "accepted"]
+    many = send({"properties": {str(i): i for i in range(251)}}, *[{"properties": {f"{j}-{i}": i for i in range(200)}} for j in range(3)], {"properties": {"0-0": 1}}, {"properties": {f"2-{i}": i for i in range(101)}}, {"properties": {f"2-{i}": i for i in range(100)}}, {"properties": {"2-150": 1}})
+    assert outcomes(many) == ["throttled", "accepted", "accepted", "throttled", "accepted", "throttled", "accepted", "throttled"]
     assert {r.reason for r in many.dead_letter.collect()} == {"too_many_properties", "property_key_cardinality"}
 
 
