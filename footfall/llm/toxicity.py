@@ -244,23 +244,23 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, letters: np.ndarray) -> Model
     positive = int(toxic.sum())
     if not positive or positive == len(toxic):
         return Model(letters, bias=3.0 if positive else -3.0)
-    pos = np.concatenate([rows[i] for i in np.flatnonzero(toxic)])
-    neg = np.concatenate([rows[i] for i in np.flatnonzero(toxic == 0)])
-    ids, n1 = np.unique(pos, return_counts=True)
-    known, n0 = np.unique(neg, return_counts=True)
-    at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
-    n0 = np.where(known[at] == ids, n0[at], 0) if len(known) else np.zeros(len(ids))
+    ids, n1 = np.unique(np.concatenate([rows[i] for i in np.flatnonzero(toxic)]), return_counts=True)
+    n0 = np.zeros(len(ids), np.int64)
+    for i in np.flatnonzero(toxic == 0):  # text by text, as all ids at once would be large
+        col = np.minimum(np.searchsorted(ids, rows[i]), len(ids) - 1)
+        np.add.at(n0, col[ids[col] == rows[i]], 1)
     total0 = len(toxic) - positive
     p = (n1 + n0) / len(toxic)
     z = (n1 / positive - n0 / total0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / positive + 1 / total0))
     ids = ids[(n1 >= LEAST) & (z >= SIGNIFICANT)]
     if not len(ids):
         return Model(letters, bias=float(np.log(positive / total0)))
-    doc = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
-    every = np.concatenate(rows)
-    col = np.minimum(np.searchsorted(ids, every), len(ids) - 1)
-    use = ids[col] == every
-    doc, col = doc[use], col[use]
+    docs, cols = [], []
+    for i, row in enumerate(rows):
+        col = np.minimum(np.searchsorted(ids, row), len(ids) - 1)
+        cols.append(col[ids[col] == row])
+        docs.append(np.full(len(cols[-1]), i))
+    doc, col = np.concatenate(docs), np.concatenate(cols)
     weight, bias = np.zeros(len(ids)), -2.0
     m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     for step in range(1, 401):
@@ -271,7 +271,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, letters: np.ndarray) -> Model
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weight, bias = weight - move[:-1], bias - move[-1]
     # Only what speaks for toxicity: nothing in a clean text can hide the rest, nor its length.
-    return Model(letters, ids, np.maximum(weight, 0), float(bias))
+    return Model(letters, ids.astype(np.uint64), np.maximum(weight, 0), float(bias))
 
 
 def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
@@ -297,7 +297,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     rows = some.where(draw).mapInArrow(extract, "toxic int, ids binary").toArrow()
     ids = rows["ids"].to_pylist()
     order = sorted(range(len(ids)), key=ids.__getitem__)
-    return fit([np.frombuffer(ids[i], np.uint32).astype(np.uint64) for i in order], rows["toxic"].to_numpy()[order].astype(int), letters)
+    return fit([np.frombuffer(ids[i], np.uint32) for i in order], rows["toxic"].to_numpy()[order].astype(int), letters)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
