@@ -6,6 +6,7 @@ temporary folder of this machine is set; a cluster must name its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -17,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, without a slash at its end."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = _own_dir()
     return found.rstrip("/")
