@@ -129,13 +129,13 @@ def _admit(group: pd.DataFrame) -> pd.DataFrame:
     for keys in group.sort_values(["received_at", "event_id"])["keyset"]:
         more = known.union(keys)
         refused.append(len(more) > MAX_KEYS)
-        if not refused[-1]:
+        if not refused[-1] or not known:  # what was observed before comes first, and stays
             known = more
     out = group.sort_values(["received_at", "event_id"])[["project_id", "event_name", "keyset"]]
     return out[refused]
 
 
-def limited(parsed: DataFrame, known_names: DataFrame | None = None) -> DataFrame:
+def limited(parsed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``parsed`` with ``limit``: what throttles a valid event, or null.
 
     too_many_properties; event_name_cardinality: the names of a project in
@@ -144,15 +144,17 @@ def limited(parsed: DataFrame, known_names: DataFrame | None = None) -> DataFram
     name before, are more than MAX_KEYS. As accepted keys only grow, a set of
     keys that is refused once is refused for good, so only the first arrival
     of each distinct set is decided one by one, and only for names that have
-    more than MAX_KEYS keys in all.
+    more than MAX_KEYS keys in all. ``known`` is the event schema observed so
+    far (project_id, event_name, property_key): its names and keys come first.
     """
     fine = parsed.where("problem IS NULL AND NOT bot").where(F.col("n_properties") <= MAX_PROPERTIES)
     sets = fine.groupBy("project_id", "event_name", F.array_sort("keys").alias("keyset")).agg(F.min(F.struct("received_at", "event_id")).alias("at"))
-    first = sets.groupBy("project_id", "event_name").agg(F.min("at").alias("at"), F.lit(1).alias("old"))
-    if known_names is not None:
-        was = known_names.select("project_id", "event_name").distinct().withColumn("was", F.lit(True))
-        first = first.join(was, ["project_id", "event_name"], "full_outer").select("project_id", "event_name", "at", F.when(F.col("was"), 0).otherwise(1).alias("old"))
-    place = F.row_number().over(Window.partitionBy("project_id").orderBy("old", "at", "event_name"))
+    if known is not None:
+        before = F.struct(F.timestamp_millis(F.lit(0)).alias("received_at"), F.lit("").alias("event_id")).alias("at")
+        old = known.groupBy("project_id", "event_name").agg(F.array_sort(F.array_remove(F.collect_set("property_key"), "")).alias("keyset"))
+        sets = sets.unionByName(old.select("project_id", "event_name", "keyset", before))
+    first = sets.groupBy("project_id", "event_name").agg(F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("at", "event_name"))
     names = first.withColumn("name_place", place).where(F.col("name_place") > MAX_NAMES).select("project_id", "event_name", "name_place")
     keys = sets.select("project_id", "event_name", F.explode("keyset").alias("key")).distinct()
     crowded = keys.groupBy("project_id", "event_name").agg(F.count("*").alias("n")).where(F.col("n") > MAX_KEYS).select("project_id", "event_name")
@@ -178,14 +180,15 @@ class Ingested:
     bindings: DataFrame
 
 
-def ingest(raw: DataFrame, projects: DataFrame | None = None, persisted: DataFrame | None = None, known_names: DataFrame | None = None) -> Ingested:
+def ingest(raw: DataFrame, projects: DataFrame | None = None, persisted: DataFrame | None = None, known: DataFrame | None = None) -> Ingested:
     """Decides every request of ``raw``.
 
     ``projects`` (project_id, monthly_event_quota, state) bounds what a project
     may store in a month beyond ``persisted`` (project_id, accepted); a null
-    quota is no bound, and projects that aren't active take nothing.
+    quota is no bound, and projects that aren't active take nothing. ``known``
+    is the event schema observed before, which limits of names and keys count.
     """
-    rows = limited(parse(raw), known_names)
+    rows = limited(parse(raw), known)
     outcome = F.when(F.col("problem").isNotNull(), "rejected").when(F.col("bot"), "bot").when(F.col("limit").isNotNull(), "throttled").otherwise("accepted")
     rows = rows.withColumn("outcome", outcome)
     if projects is not None:

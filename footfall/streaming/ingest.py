@@ -27,8 +27,13 @@ def write_batch(store: Store, projects: DataFrame | None = None):
     def run(raw: DataFrame, batch_id: int) -> None:
         raw = raw.persist()
         try:
-            done = ingest(unbatch(raw), projects)
             spark = raw.sparkSession
+            known, counted = (earlier(store, name, batch_id) for name in ("event_schema", "counters"))
+            persisted = None
+            if counted is not None:
+                now = raw.agg(F.max("received_at")).first()[0]
+                persisted = counted.where(F.col("month") == F.trunc(F.lit(now), "month")).groupBy("project_id").agg(F.sum("accepted").alias("accepted"))
+            done = ingest(unbatch(raw), projects, persisted, known)
             # One folder a batch: a retry of the batch overwrites what its first run left.
             events_at = f"{store.path('incoming')}/batch={batch_id}"
             done.events.withColumn("month", month(F.col("timestamp"))).write.mode("overwrite").partitionBy("project_id", "month").parquet(events_at)
@@ -46,6 +51,13 @@ def write_batch(store: Store, projects: DataFrame | None = None):
     return run
 
 
+def earlier(store: Store, name: str, batch_id: int) -> DataFrame | None:
+    """The parts of a rollup that batches before this one wrote: the state that limits and quotas go by."""
+    if not store.exists(f"parts/{name}"):
+        return None
+    return store.spark.read.parquet(store.path(f"parts/{name}")).where(F.col("batch") < batch_id).drop("batch")
+
+
 def events(store: Store) -> DataFrame:
     """All events that batches have written."""
     return store.spark.read.option("recursiveFileLookup", "false").option("basePath", store.path("incoming")).parquet(store.path("incoming")).select(*EVENTS.names)

@@ -57,3 +57,21 @@ def test_live_counts_and_tail(spark, make, tmp_path):
     followed.awaitTermination()
     assert spark.sql("SELECT count(*) FROM tail").first()[0] == 9
     assert at("08-01 00:00").year == 2026
+
+
+def test_limits_and_quotas_go_on_over_batches(spark, tmp_path):
+    from datetime import datetime
+
+    from footfall.schema import PROJECTS
+
+    store = Store(spark, str(tmp_path / "out"))
+    run = stream.write_batch(store, spark.createDataFrame([(1, "one", 13, 1004, "active")], PROJECTS))
+
+    def send(batch, *events):
+        rows = [(1, datetime(2026, 8, 1, 12), "Firefox/1", json.dumps({"message_id": f"00000000-0000-4000-8000-{batch * 10_000 + i:012d}", "type": "track", "event": e, "user_id": "u", "properties": p})) for i, (e, p) in enumerate(events)]
+        run(spark.createDataFrame(rows, ingest.RAW), batch)
+        return [tuple(r) for r in spark.read.parquet(f"{store.path('parts/counters')}/batch={batch}").select("accepted", "throttled", "over_quota").collect()]
+
+    assert send(0, *[(f"e{i}", {}) for i in range(1000)]) == [(1000, 0, 0)]
+    assert send(1, ("e0", {str(i): 1 for i in range(250)}), ("e0", {f"x{i}": 1 for i in range(250)}), ("new", {})) == [(2, 1, 0)]
+    assert send(2, ("e0", {"another": 1}), ("e0", {"x1": 1}), ("e1", {}), ("e2", {})) == [(2, 1, 1)]
