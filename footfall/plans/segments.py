@@ -15,7 +15,7 @@ from ..operators.rollups import device_index, person_traits
 from ..operators.suppress import not_suppressed
 from ..schema import CONTEXT_FIELDS, LATEST_FIELDS, Tables
 from . import predicates as P
-from .ast import Behavior, Node, behaviors
+from .ast import Behavior, Node, Trait, behaviors, walk
 from .validate import cost_warnings, validate_tree
 
 PAGE, WALK = 100, 1000
@@ -66,17 +66,19 @@ def behavior_pass(t: Tables, nodes: list[Behavior]) -> tuple[DataFrame, dict[Beh
     return people.agg(*[P.behavior_value(b, t.now).alias(a) for b, a in alias.items()]), alias
 
 
-def persons(t: Tables, node: Node, index: DataFrame | None = None, stored_traits: DataFrame | None = None) -> DataFrame:
-    """People of a segment with all their columns; one row each.
+def persons(t: Tables, node: Node, index: DataFrame | None = None, stored_traits: DataFrame | None = None, with_traits: bool = False) -> DataFrame:
+    """People of a segment with their columns; one row each.
 
-    People without traits or matching events read as '' and 0, so that a
+    Traits are read only if the tree asks for one, or ``with_traits``. People without traits or matching events read as '' and 0, so that a
     negated condition holds of them.
     """
     validate_tree(node)
-    none = F.create_map().cast("map<string,string>")
-    none_num = F.create_map().cast("map<string,double>")
-    rows = base(t, index).join(traits(t, stored_traits), "person_id", "left")
-    rows = rows.withColumns({"traits": F.coalesce("traits", none), "traits_num": F.coalesce("traits_num", none_num)})
+    rows = base(t, index)
+    if with_traits or any(isinstance(n, Trait) for n, _, _ in walk(node)):
+        none = F.create_map().cast("map<string,string>")
+        none_num = F.create_map().cast("map<string,double>")
+        rows = rows.join(traits(t, stored_traits), "person_id", "left")
+        rows = rows.withColumns({"traits": F.coalesce("traits", none), "traits_num": F.coalesce("traits_num", none_num)})
     alias: dict[Behavior, str] = {}
     if nodes := behaviors(node):
         counted, alias = behavior_pass(t, nodes)
@@ -98,7 +100,7 @@ def member_columns() -> list[Column]:
 
 def members(t: Tables, node: Node, after: tuple[datetime, str] | None = None, limit: int = PAGE, **stored: DataFrame) -> DataFrame:
     """A page of people: last seen first, then by id; after a (last_seen, person_id) if given."""
-    rows = persons(t, node, **stored)
+    rows = persons(t, node, with_traits=True, **stored)
     if after is not None:
         seen, person = instant(after[0]), F.lit(after[1])
         rows = rows.where((F.col("last_seen") < seen) | ((F.col("last_seen") == seen) & (F.col("person_id") > person)))
