@@ -220,6 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     family = family.join(signed.select(F.col("doc_id").alias("rep"), "sig", "n_shingles").dropDuplicates(["rep"]), "rep")
     by_rows = F.least(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.lit(BLOCK_COUNT))
     count = family.groupBy("family").agg(F.greatest(by_rows, F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    # Dealt out anew, so that the join shuffles both sides itself and a large family can be split.
+    count = count.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = family.join(count, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     held = placed.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
