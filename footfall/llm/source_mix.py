@@ -3,9 +3,10 @@
 Targets are filled like water: every source gets the same multiple of its
 weight, up to ``CAP`` times its size. The mix is a row of slots of equal words.
 Slot i stands at the golden-ratio point of i, which is mapped through the
-cumulative targets to a source, and takes that source's next block; blocks are
+cumulative slots to a source, and takes that source's next block; blocks are
 equal runs of words of the source's documents in shuffled order, taken round
-and round.
+and round. A source of a small target has blocks that are shorter, so that its
+words, too, come near the target.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from ._store import cut
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: Words of a slot: the total over SLOTS, from 1 to BLOCK_WORDS.
-SLOTS, BLOCK_WORDS = 20_000, 4096
+#: Words of a block: the total over SLOTS, from 1 to BLOCK_WORDS, and at most a LEAST_SLOTS-th of the source's target.
+SLOTS, BLOCK_WORDS, LEAST_SLOTS = 20_000, 4096, 256
 GOLDEN = 0.6180339887498949
 #: Parts of a source's shuffled order, and cells of the unit interval that points are joined by.
 PARTS, CELLS = 4096, 4096
 
 
-def source_targets(sized: DataFrame) -> DataFrame:
-    """sid, source, source_size, target, and the source's stretch lo to hi of the unit interval.
+def source_targets(sized: DataFrame, words: int) -> DataFrame:
+    """sid, source, source_size, target, words of a block, blocks, the source's stretch lo to hi of the unit interval, and slots of all.
 
     ``sized``: source, size. One row for each source, in code point order with null last.
     """
@@ -42,10 +43,15 @@ def source_targets(sized: DataFrame) -> DataFrame:
     weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     rows = rows.withColumn("level", left / weight).withColumn("level", F.max("level").over(every))
     rows = rows.withColumn("target", F.least(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
+    block = F.greatest(F.lit(1), F.least(F.lit(words), F.floor(F.col("target") / LEAST_SLOTS))).cast("long")
+    rows = rows.withColumn("words", block).withColumn("blocks", F.ceil(F.col("source_size") / F.col("words")))
+    # Slots that a source needs: its last block may be shorter than the others.
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.greatest(F.sum("target").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(1e-300))
-    rows = rows.withColumn("hi", F.sum("target").over(upto) / total)
-    return rows.select("sid", "source", "source_size", "target", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0.0)).alias("lo"), "hi")
+    need = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+    rows = rows.withColumn("upto", F.sum(need).over(upto)).withColumn("all", F.max("upto").over(every))
+    rows = rows.withColumn("hi", F.when(F.col("all") > 0, F.col("upto") / F.col("all")).otherwise(0.0))
+    lo = F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0.0))
+    return rows.select("sid", "source", "source_size", "target", "words", "blocks", lo.alias("lo"), "hi", F.ceil("all").alias("slots"))
 
 
 def schedule(spark: SparkSession, slots: int, targets: DataFrame) -> DataFrame:
@@ -79,8 +85,8 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
     sized, _ = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     words = min(max(1, total // SLOTS), BLOCK_WORDS)
-    slots = -(-total // words)
-    targets, _ = cut(source_targets(sized))
+    targets, _ = cut(source_targets(sized, words))
+    slots = (targets.agg(F.max("slots")).first()[0] or 0) if total else 0
 
     key = F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string")))
     rows = sized.withColumn("key", key).withColumn("part", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % PARTS)
@@ -88,16 +94,15 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
     rows = rows.withColumn("row", F.row_number().over(inside)).withColumn("start", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     parts = sized.withColumn("key", key).groupBy("source", (F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % PARTS).alias("part")).agg(F.sum("size").alias("n"))
     parts = parts.withColumn("from", F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    parts = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "p.part", "p.from", "t.sid", "t.source_size", "t.target")
+    parts = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "p.part", "p.from", "t.sid", "t.source_size", "t.target", "t.words")
     rows = rows.alias("r").join(parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part")))
-    rows = rows.select("r.doc_id", "r.source", "r.size", "p.part", "r.row", "p.sid", "p.source_size", "p.target", (F.col("p.from") + F.col("r.start")).alias("start"))
+    rows = rows.select("r.doc_id", "r.source", "r.size", "p.part", "r.row", "p.sid", "p.source_size", "p.target", "p.words", (F.col("p.from") + F.col("r.start")).alias("start"))
 
-    blocks = F.ceil(F.col("source_size") / words)
-    taken = schedule(spark, slots, targets).join(targets.select("sid", blocks.alias("blocks")), "sid").where(F.col("rank") < CAP * F.col("blocks"))
+    taken = schedule(spark, slots, targets).join(targets.select("sid", "blocks"), "sid").where(F.col("rank") < CAP * F.col("blocks"))
     taken = taken.groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
-    first, last = F.floor(F.col("start") / words), F.floor((F.col("start") + F.col("size") - 1) / words)
+    first, last = F.floor(F.col("start") / F.col("words")), F.floor((F.col("start") + F.col("size") - 1) / F.col("words"))
     spread = rows.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    share = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * words) - F.greatest("start", F.col("block") * words)
+    share = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest("start", F.col("block") * F.col("words"))
     keys = ["sid", "part", "row"]
     got = spread.join(taken, ["sid", "block"]).groupBy(*keys).agg(F.sum(share * F.col("times")).alias("taken"))
     return rows.join(got, keys, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
@@ -116,14 +121,16 @@ s1 AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
 s2 AS (SELECT *, CAST((SELECT t FROM z) - coalesce(sum(cap) OVER w, 0) AS DOUBLE) / CAST((SELECT sum(weight) FROM s1) - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS lev
   FROM s1 WINDOW w AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, least((SELECT max(lev) FROM s2) * weight, CAST(cap AS DOUBLE)) AS target FROM s2),
-s4 AS (SELECT *, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / (SELECT sum(target) FROM s3) AS hi FROM s3),
-s AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo, CAST(ceil(source_size / (SELECT b FROM z)) AS BIGINT) AS blocks FROM s4),
-p AS (SELECT i, (CAST(i + 1 AS DOUBLE) * CAST(0.6180339887498949 AS DOUBLE)) % CAST(1 AS DOUBLE) AS u FROM z, unnest(range(CAST(ceil(t / b) AS BIGINT))) AS x(i)),
+s4 AS (SELECT *, CAST(ceil(source_size / words) AS BIGINT) AS blocks FROM (SELECT *, greatest(1, least((SELECT b FROM z), CAST(floor(target / 256) AS BIGINT))) AS words FROM s3)),
+s5 AS (SELECT *, sum(CASE WHEN source_size > 0 THEN target * blocks / source_size ELSE 0.0::DOUBLE END) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) AS upto FROM s4),
+s6 AS (SELECT *, CASE WHEN upto > 0 THEN upto / (SELECT max(upto) FROM s5) ELSE 0 END AS hi FROM s5),
+s AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo FROM s6),
+p AS (SELECT i, (CAST(i + 1 AS DOUBLE) * CAST(0.6180339887498949 AS DOUBLE)) % CAST(1 AS DOUBLE) AS u FROM (SELECT CAST(ceil(max(upto)) AS BIGINT) AS m FROM s5), unnest(range(m)) AS x(i)),
 r AS (SELECT sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS k FROM p JOIN s ON u >= lo AND u < hi),
 n AS (SELECT sid, k % blocks AS block, count(*) AS times FROM r WHERE k < 3 * blocks GROUP BY ALL),
-o AS (SELECT doc_id, size, sid, source_size, target, sum(size) OVER (PARTITION BY sid ORDER BY md5('mix/' || CAST(doc_id AS VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-e AS (SELECT *, unnest(range(CAST(start // (SELECT b FROM z) AS BIGINT), CAST((start + size - 1) // (SELECT b FROM z) + 1 AS BIGINT))) AS block FROM o WHERE size > 0),
-g AS (SELECT e.doc_id, sum((least(start + size, (block + 1) * (SELECT b FROM z)) - greatest(start, block * (SELECT b FROM z))) * times) AS taken FROM e JOIN n USING (sid, block) GROUP BY e.doc_id)
+o AS (SELECT doc_id, size, sid, source_size, target, words, sum(size) OVER (PARTITION BY sid ORDER BY md5('mix/' || CAST(doc_id AS VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+e AS (SELECT *, unnest(range(CAST(start // words AS BIGINT), CAST((start + size - 1) // words + 1 AS BIGINT))) AS block FROM o WHERE size > 0),
+g AS (SELECT e.doc_id, sum((least(start + size, (block + 1) * words) - greatest(start, block * words)) * times) AS taken FROM e JOIN n USING (sid, block) GROUP BY e.doc_id)
 SELECT o.doc_id, o.size, o.source_size, o.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken, s.source FROM o JOIN s USING (sid) LEFT JOIN g USING (doc_id)
 """
 

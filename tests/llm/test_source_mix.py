@@ -57,7 +57,17 @@ def test_a_capped_source_stops_at_three_times_its_size(spark):
     assert got["a"] == (30.0, 30) and got["b"][0] == pytest.approx(120) and abs(got["b"][1] - 120) <= 3
 
 
+def test_small_sources_come_near_their_targets_too(spark):
+    rows = [(i, "w " * 5000, None, "big", None) for i in range(100)] + [(1000 + i, "w " * (3 + i), None, s, None) for s in ("a", "b", None) for i in range(20)]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    taken, target = {}, {}
+    for r in M.mix_sources(frame(spark, rows)).collect():
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 0.03 * target[s] for s in target), (taken, target)
+
+
 def test_ranks_are_without_gaps(spark):
     sized = spark.createDataFrame([("a", 500), ("b", 300), (None, 200)], "source string, size long")
-    ranks = M.schedule(spark, 3000, M.source_targets(sized)).groupBy("sid").agg({"rank": "max", "*": "count"}).collect()
+    ranks = M.schedule(spark, 3000, M.source_targets(sized, 7)).groupBy("sid").agg({"rank": "max", "*": "count"}).collect()
     assert all(r["max(rank)"] + 1 == r["count(1)"] for r in ranks) and sum(r["count(1)"] for r in ranks) == 3000
