@@ -203,7 +203,7 @@ ORACLES = {
     "purge_person": sql(f"""SELECT 'events' AS "table", count(*) AS rows FROM ev q WHERE NOT {owned("'user-10'")}
       UNION ALL SELECT 'device_index', count(*) FROM dx WHERE NOT {GONE} UNION ALL SELECT 'person_traits', count(*) FROM tr WHERE NOT {GONE}
       UNION ALL SELECT 'dead_letter', 1 UNION ALL SELECT 'bindings', count(*) FROM bd WHERE person <> 'user-10' UNION ALL SELECT 'event_schema', count(*) FROM ks
-      UNION ALL SELECT 'suppressed', count(*) + 1 FROM su WHERE person <> 'user-10'""", EXACT, INDEX, TRAITS, KINDS),
+      UNION ALL SELECT 'suppressed', count(*) + 1 + (SELECT count(DISTINCT anonymous_id) FROM bd WHERE person = 'user-10') FROM su WHERE person <> 'user-10'""", EXACT, INDEX, TRAITS, KINDS),
     "retention_dry_run": sql("SELECT 202401 AS month, count(*) AS events FROM ev"),
     "stale_names": sql("SELECT event_name, property_key, value_kind FROM ks WHERE event_name IN ('error', 'signup')", KINDS),
 }

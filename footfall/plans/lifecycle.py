@@ -47,10 +47,11 @@ def dead_letter_retained(dead_letter: DataFrame, now: datetime) -> DataFrame:
 
 @dataclass(frozen=True)
 class DeletionRequest:
-    """A request to erase a person: the ids captured then are the ceiling of its purge."""
+    """A request to erase a person: the ids captured then (persons' and devices') are the ceiling of its purge."""
 
     request_id: str
     project_id: int
+    person_id: str
     person_ids: tuple[str, ...]
     requested_at: datetime
     status: str = "pending"
@@ -70,14 +71,14 @@ def request_deletion(t: Tables, person: str, request_id: str, open_requests: lis
     that is still open for the same ids is returned, or NotFound raised.
     """
     s = scope(t, person)
-    ids = tuple(sorted({*s.group, s.canonical}))
+    ids = tuple(sorted({*s.group, s.canonical, *s.devices}))
     if not person_events(t.events.where(F.col("project_id") == t.project_id), s, None).take(1):
         for r in open_requests:
             if r.status in ("pending", "in_progress") and set(r.person_ids) & set(ids):
                 return r, t.suppressed
         raise NotFound(person)
     rows = t.spark.createDataFrame([(t.project_id, i, t.now) for i in ids], SUPPRESSED)
-    return DeletionRequest(request_id, t.project_id, ids, t.now), upsert(t.suppressed, rows)
+    return DeletionRequest(request_id, t.project_id, s.canonical, ids, t.now), upsert(t.suppressed, rows)
 
 
 def deletion_status(r: DeletionRequest, leased: bool = False, max_attempts: int = 5) -> str:
@@ -120,22 +121,22 @@ def stale_names(schema: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def purge(t: Tables, r: DeletionRequest, device_index: DataFrame, person_traits: DataFrame, dead_letter: DataFrame, event_schema: DataFrame) -> Erased:
-    """All traces of the request's ids up to its instant go; suppression stays.
+    """All traces of the request's ids go, whenever they were left; suppression stays.
 
     In order: the keys that the person sent, events, rollups by raw identity,
     rejected payloads, bindings, aliases, names that no event has any more, and
     keys that no surviving event has. Other projects' rows are untouched.
     """
-    s = scope(t, r.person_ids[0], restrict_to=list(r.person_ids))
+    s = scope(t, r.person_id, restrict_to=list(r.person_ids))
     project = F.col("project_id") == r.project_id
-    theirs = person_events(t.events.where(project & (F.col("timestamp") <= instant(r.requested_at))), s, None)
+    theirs = person_events(t.events.where(project), s, None)
     sent = owned_keys(theirs)
     gone = theirs.select("project_id", "event_id", "timestamp", "received_at")
     events = t.events.join(gone, ["project_id", "event_id", "timestamp", "received_at"], "left_anti")
-    ids, devices = list(r.person_ids), list(s.devices)
-    # A device that changed hands keeps the rollup rows of its later owner's own user id.
-    raw = project & (F.col("user_id").isin(ids) | ((F.col("user_id") == "") & F.col("anonymous_id").isin([*devices, *ids])))
-    bound = project & F.col("person_id").isin(ids) & (F.col("bound_at") <= instant(r.requested_at))
+    ids, devices = list(s.group), list(s.devices)
+    # Anonymous rollup rows of a shared device can't be split by time, so they go; its other owner's events stay.
+    raw = project & (F.col("user_id").isin(ids) | ((F.col("user_id") == "") & F.col("anonymous_id").isin(devices)))
+    bound = project & F.col("person_id").isin(ids)
     schema = event_schema.join(stale_names(event_schema.where(project), events).select("project_id", "event_name").distinct(), ["project_id", "event_name"], "left_anti")
     left = owned_keys(events.where(project).join(sent.select("event_name").distinct(), "event_name", "left_semi"))
     lost = sent.join(left, ["event_name", "property_key", "value_kind"], "left_anti").withColumn("project_id", F.lit(r.project_id).cast("long"))
@@ -143,7 +144,7 @@ def purge(t: Tables, r: DeletionRequest, device_index: DataFrame, person_traits:
         events,
         device_index.where(~raw),
         person_traits.where(~raw),
-        dead_letter.where(~(project & mentions(F.col("payload"), ids))),
+        dead_letter.where(~(project & mentions(F.col("payload"), sorted({*ids, *devices})))),
         t.bindings.where(~bound),
         t.aliases.where(~(project & (F.col("person_id").isin(ids) | F.col("canonical_id").isin(ids)))),
         schema.join(lost, ["project_id", "event_name", "property_key", "value_kind"], "left_anti"),

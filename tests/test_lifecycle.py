@@ -62,7 +62,7 @@ def erase(t, dead, request):
 def test_purge(world):
     t, dead = world
     request, hidden = lifecycle.request_deletion(t, "al", "r1")
-    assert request.person_ids == ("al", "alice") and sorted(r.person_id for r in hidden.collect()) == ["al", "alice"]
+    assert request.person_ids == ("al", "alice", "d") and sorted(r.person_id for r in hidden.collect()) == ["al", "alice", "d"]
     left = erase(t, dead, request)
     assert sorted((r.event_name, r.timestamp.hour) for r in left.events.collect()) == [("shared", 16), ("shared", 17)]
     assert {r.event_name for r in left.event_schema.collect()} == {"shared"}
@@ -84,10 +84,10 @@ def test_deletion_requests(world, make):
     t, _ = world
     with pytest.raises(lifecycle.NotFound):
         lifecycle.request_deletion(t, "nobody", "r")
-    old = lifecycle.DeletionRequest("r0", 1, ("nobody",), at("08-01 00:00"))
+    old = lifecycle.DeletionRequest("r0", 1, "nobody", ("nobody",), at("08-01 00:00"))
     assert lifecycle.request_deletion(t, "nobody", "r", [old])[0] is old
     # What is suppressed already still exists.
-    assert lifecycle.request_deletion(t.at(suppressed=make.suppressed(("alice", "08-06 00:00"))), "alice", "r3")[0].person_ids == ("al", "alice")
+    assert lifecycle.request_deletion(t.at(suppressed=make.suppressed(("alice", "08-06 00:00"))), "alice", "r3")[0].person_ids == ("al", "alice", "d")
     assert lifecycle.deletion_status(old) == "pending" and lifecycle.deletion_status(old, leased=True) == "in_progress"
     assert lifecycle.deletion_status(lifecycle.advance(old, at=at("08-02 00:00"))) == "completed"
     failed = old
