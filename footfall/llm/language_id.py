@@ -1,18 +1,21 @@
 """Language identification with string kernels.
 
 A text's blended spectrum is the set of its byte n-grams of 1 to 4 bytes
-(A-Z lowered), hashed to ``DIMS`` presence bits. The kernel of two texts is the
-number of bits they share over the root of the product of their bit counts.
-``LANDMARKS`` training texts span the Nyström approximation; one ridge
-regression for each language against the rest is fitted on it. Scoring is a
-matrix product of a batch's presence bits with the landmarks' bits, and one
-with the regression weights.
+(A-Z lowered), hashed to ``DIMS`` presence bits that are kept sparse. Only bits
+of the landmarks, ``LANDMARKS`` training texts, are columns; what else a text
+holds (hex, base64, other scripts) doesn't count. The kernel of two texts is
+the number of columns they share over the root of the product of their column
+counts. The landmarks span the Nyström approximation; one ridge regression for
+each language against the rest is fitted on it. As a kernel is a sum over
+columns, landmarks and regression fold into one weight for each column and
+language, and scoring adds up the weights of a text's columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +24,23 @@ from pyspark.sql import functions as F
 
 from ._text import LOWER, blocks
 
-DIMS, GRAMS, LANDMARKS, RIDGE = 8192, (1, 2, 3, 4), 256, 1e-3
+DIM_BITS, GRAMS, LANDMARKS, RIDGE = 22, (1, 2, 3, 4), 256, 1e-3
+DIMS = 1 << DIM_BITS
 #: Expected training texts of each language; all of a language that has fewer.
 SAMPLE = 600
-#: Texts a matrix product takes at once.
+#: Texts whose letters are looked for at once.
 ROWS = 512
+#: Presence marks (text by column) that scoring holds at once; one text may need more.
+MARKS = 1 << 23
 #: Languages with fewer training texts than this are not learned.
 LEAST = 3
 UNDETERMINED = "und"
 
 
-def spectra(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One row of DIMS presence bits (as float32 0 or 1) for each text."""
-    n = len(at) - 1
-    out = np.zeros((n, DIMS), np.float32)
-    flat, data = out.ravel(), LOWER[raw]
-    doc = np.repeat(np.arange(n, dtype=np.int64) * DIMS, np.diff(at))
+def _grams(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bit) of all n-grams, for each n in turn."""
+    data = LOWER[raw]
+    doc = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     value = np.zeros(len(data), np.uint32)
     for k in GRAMS:
         m = len(data) - k + 1
@@ -44,60 +48,106 @@ def spectra(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
             break
         value = (value[:m] << np.uint32(8)) | data[k - 1 :]
         bit = ((value + np.uint32(k)) * np.uint32(0x9E3779B1)) ^ np.uint32(k * 0x85EBCA6B & 0xFFFFFFFF)
-        bit = (bit ^ (bit >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - 13)
+        bit = (bit ^ (bit >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - DIM_BITS)
         same = doc[:m] == doc[k - 1 :]
-        flat[doc[:m][same] + bit[same]] = 1
-    return out
+        yield doc[:m][same], bit[same]
+
+
+class Spectrum:
+    """The presence bits of a text, in order; a sparse vector of 0 and 1."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def sum(self) -> int:
+        return len(self.bits)
+
+    def __matmul__(self, other: Spectrum) -> int:
+        return len(np.intersect1d(self.bits, other.bits, assume_unique=True))
+
+
+def spectra(raw: np.ndarray, at: np.ndarray) -> list[Spectrum]:
+    """The spectrum of each text."""
+    keys = [(doc.astype(np.uint64) << np.uint64(DIM_BITS)) | bit for doc, bit in _grams(raw, at)]
+    keys = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]))
+    cut = np.searchsorted(keys, np.arange(len(at), dtype=np.uint64) << np.uint64(DIM_BITS))
+    bits = (keys & np.uint64(DIMS - 1)).astype(np.uint32)
+    return [Spectrum(bits[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+@cache
+def _column_of(columns: bytes) -> np.ndarray:
+    """The column of each bit, -1 for none."""
+    bits = np.frombuffer(columns, np.uint32)
+    table = np.full(DIMS, -1, np.int32)
+    table[bits] = np.arange(len(bits))
+    return table
 
 
 @dataclass
 class Model:
-    """Landmarks' bits (packed), their scale, regression weights, and the languages of its columns."""
+    """The landmarks' bits in order, a weight for each and each language, and the languages."""
 
-    landmarks: np.ndarray
-    scale: np.ndarray
+    columns: bytes
     weights: np.ndarray
     bias: np.ndarray
     languages: list[str]
 
-    def decide(self, x: np.ndarray) -> np.ndarray:
-        """Regression values, a column for each language."""
-        bits = np.unpackbits(self.landmarks, axis=1)[:, :DIMS].astype(np.float32)
-        size = np.maximum(np.sqrt(x.sum(axis=1)), 1).astype(np.float32)
-        return (x @ bits.T) * self.scale / size[:, None] @ self.weights + self.bias
-
-
-def fit(bits: np.ndarray, labels: list[str]) -> Model:
+    def decide(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Regression values, a row for each text and a column for each language."""
+        table, n, width = _column_of(self.columns), len(at) - 1, len(self.weights)
+        out = np.zeros((n, len(self.languages)))
+        step = max(1, MARKS // width)
+        present = np.zeros(min(step, n) * width, bool)
+        for lo in range(0, n, step):
+            hi = min(lo + step, n)
+            for doc, bit in _grams(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]):
+                column = table[bit]
+                seen = column >= 0
+                present[doc[seen].astype(np.int64) * width + column[seen]] = True
+            place = np.flatnonzero(present)
+            present[place] = False
+            cut = np.searchsorted(place, np.arange(hi - lo + 1) * width)
+            for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+                if a < b:
+                    out[lo + i] = self.weights[place[a:b] - i * width].sum(axis=0, dtype=np.float64) / np.sqrt(b - a)
+        return out + self.bias
+
+
+def fit(texts: list[Spectrum], labels: list[str]) -> Model:
     """Nyström landmarks dealt evenly over languages, and one-versus-rest kernel ridge regression."""
     names = sorted(set(labels))
     y = np.array([names.index(v) for v in labels])
     turn = np.concatenate([np.arange((y == k).sum()) for k in range(len(names))])
     by_language = np.argsort(y, kind="stable")
     chosen = by_language[np.lexsort((y[by_language], turn))][:LANDMARKS]
-    x = np.unpackbits(bits, axis=1)[:, :DIMS].astype(np.float32)
-    size = np.maximum(np.sqrt(x.sum(axis=1)), 1)
-    mark = x[chosen]
-    scale = (1 / size[chosen]).astype(np.float32)
-    cross = ((x @ mark.T) * scale / size[:, None]).astype(np.float64)
+    columns = np.unique(np.concatenate([texts[i].bits for i in chosen]))
+    table = _column_of.__wrapped__(columns.tobytes())
+    rows = [(c := table[t.bits])[c >= 0] for t in texts]
+    size = np.maximum(np.sqrt([len(r) for r in rows]), 1)
+    mark = np.zeros((len(columns), len(chosen)), np.uint8)
+    for j, i in enumerate(chosen):
+        mark[rows[i], j] = 1
+    scale = 1 / size[chosen]
+    cross = np.stack([mark[r].sum(axis=0, dtype=np.int32) for r in rows]) * scale / size[:, None]
     values, vectors = np.linalg.eigh(cross[chosen])
     keep = values > 1e-6 * values.max()
     basis = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.hstack([cross @ basis, np.ones((len(x), 1))])
+    phi = np.hstack([cross @ basis, np.ones((len(texts), 1))])
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = 1 / np.bincount(y, minlength=len(names))[y]
     gram = (phi * weight[:, None]).T @ phi + RIDGE * np.eye(phi.shape[1])
     solved = np.linalg.solve(gram, (phi * weight[:, None]).T @ target)
-    return Model(bits[chosen], scale, (basis @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32), names)
+    folded = scale[:, None] * (basis @ solved[:-1])
+    weights = np.concatenate([mark[a : a + 8192] @ folded for a in range(0, len(mark), 8192)]).astype(np.float32)
+    return Model(columns.tobytes(), weights, solved[-1], names)
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, raw, at in blocks(batch.column(1)):
-            for a in range(0, hi - lo, ROWS):
-                b = min(a + ROWS, hi - lo)
-                x = spectra(raw[at[a] : at[b]], at[a : b + 1] - at[a])
-                packed = np.packbits(x.astype(np.uint8), axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, b - a), pa.array([r.tobytes() for r in packed], pa.binary())], ["lang", "bits"])
+            bits = [x.bits.tobytes() for x in spectra(raw, at)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(bits, pa.binary())], ["lang", "bits"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -116,7 +166,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1.0, sample / n) * (1 << 30)) + 1))
     rows = some.where(chosen).mapInArrow(_presence, "lang string, bits binary").toPandas()
     rows = rows.sort_values(["lang", "bits"], kind="stable")
-    return fit(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1), rows["lang"].tolist())
+    return fit([Spectrum(np.frombuffer(b, np.uint32)) for b in rows["bits"]], rows["lang"].tolist())
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -136,8 +186,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     letters = np.array([t is not None and any(c.isalpha() for c in t) for t in texts.slice(lo + a, b - a).to_pylist()], bool)
                     langs, score = [UNDETERMINED] * (b - a), np.zeros(b - a)
                     if model is not None and letters.any():
-                        x = spectra(raw[at[a] : at[b]], at[a : b + 1] - at[a])
-                        p = np.clip((model.decide(x) + 1) / 2, 1e-3, 1).astype(np.float64)
+                        p = np.clip((model.decide(raw[at[a] : at[b]], at[a : b + 1] - at[a]) + 1) / 2, 1e-3, 1)
                         best = p.argmax(axis=1)
                         score = np.where(letters, p[np.arange(b - a), best] / p.sum(axis=1), 0.0)
                         langs = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best, letters, strict=True)]

@@ -173,6 +173,23 @@ def test_language_of_odd_texts(spark):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+@pytest.fixture(scope="module")
+def language_model(spark):
+    return language_id.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(~language_id.held_out()))
+
+
+@pytest.mark.parametrize("size", [20_000, 160_000])
+@pytest.mark.parametrize("signs", ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_language_of_long_texts_that_hold_a_block(spark, language_model, signs, size):
+    texts = spark.read.parquet(f"{SF}/documents.parquet").where(language_id.held_out()).where("lang IS NOT NULL").select("lang", "text").toPandas()
+    rng = random.Random(size)
+    block = "".join(rng.choices(signs, k=size))
+    rows = [(i, "\n".join(t)[:20_000] + "\n" + block, lang, None, None) for i, (lang, t) in enumerate(texts.groupby("lang")["text"])]
+    assert len(rows) > 2
+    got = language_id.identify(frame(spark, rows), language_model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang, *_ in rows}
+
+
 def test_kernels_are_shared_spectra():
     texts = ["abcabc", "abd", ""]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
