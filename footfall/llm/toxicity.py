@@ -12,6 +12,7 @@ labels tie to toxicity.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -31,8 +32,8 @@ JOINTS = ".-_*~,/ "
 SIGN, JOINT, REPEAT, DOUBLE, KEEP = -0.5, -0.05, -0.3, -1.0, -9.0
 #: A word is this short, so the path of a run of letters may break between words.
 BREAK = -1.0
-#: Characters of a lattice that is decoded at once; longer ones are decoded in pieces.
-LATTICE = 200
+#: Doubled letters count as many or few within so many characters to either side.
+NEAR = 200
 #: Labelled texts that are learned from, expected; all if there are fewer.
 SAMPLE = 12_000
 #: Word beginnings of so many bytes are features besides whole words.
@@ -102,38 +103,46 @@ class Decoder:
         if span not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[span] = " ".join(self._best(span[i : i + LATTICE]) for i in range(0, len(span), LATTICE))
+            self.known[span] = self._best(span)
         return self.known[span]
 
     def _best(self, span: str) -> str:
-        p, spelled, doubles = self.p, bool(_SPELLED.fullmatch(span)), len(_DOUBLE.findall(span))
-        paths: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        p, spelled = self.p, bool(_SPELLED.fullmatch(span))
+        doubles = [m.start() for m in _DOUBLE.finditer(span)]
+        # A path's text is linked backwards: (the text before, what was put after it), None if empty.
+        paths: dict[tuple[int, int, str], tuple[float, int, tuple | None]] = {(0, 0, ""): (0.0, 0, None)}
         for i, c in enumerate(span):
-            drop = REPEAT if c * 3 in span[max(0, i - 2) : i + 3] else DOUBLE if doubles > 2 else KEEP
-            nexts: dict[tuple[int, int, str], tuple[float, str]] = {}
+            many = len(doubles) > 2 and bisect_right(doubles, i + NEAR) - bisect_left(doubles, i - NEAR) > 2
+            drop = REPEAT if c * 3 in span[max(0, i - 2) : i + 3] else DOUBLE if many else KEEP
+            nexts: dict[tuple[int, int, str], tuple[float, int, tuple | None]] = {}
 
-            def put(key, cost, text, nexts=nexts):
+            def put(key, cost, size, text, more="", nexts=nexts):
                 if key not in nexts or nexts[key][0] < cost:
-                    nexts[key] = (cost, text)
+                    nexts[key] = (cost, size + len(more), (text, more) if more else text)
 
             options = [(c, 0.0)] if c.isalpha() else []
             options += [(o, SIGN) for o in LEET.get(c, "")]
-            for (a, b, last), (cost, text) in paths.items():
+            for (a, b, last), (cost, size, text) in paths.items():
                 if c in JOINTS:
-                    put((a, b, ""), cost + JOINT, text)
+                    put((a, b, ""), cost + JOINT, size, text)
                     continue
                 if not options:
-                    put((0, 0, ""), cost + p[a][b][0], text + c if c.isdigit() else text + " ")
+                    put((0, 0, ""), cost + p[a][b][0], size, text, c if c.isdigit() else " ")
                     continue
                 for o, extra in options:
                     if last == o and not spelled:
-                        put((a, b, o), cost + drop, text)
+                        put((a, b, o), cost + drop, size, text)
                     k = _code(o)
-                    put((b, k, o), cost + extra + p[a][b][k], text + o)
-                    if spelled and b and len(text) > 2:
-                        put((0, k, o), cost + extra + BREAK + p[a][b][0] + p[0][0][k], text + " " + o)
+                    put((b, k, o), cost + extra + p[a][b][k], size, text, o)
+                    if spelled and b and size > 2:
+                        put((0, k, o), cost + extra + BREAK + p[a][b][0] + p[0][0][k], size, text, " " + o)
             paths = dict(sorted(nexts.items(), key=lambda x: -x[1][0])[:24])
-        return max(paths.items(), key=lambda x: x[1][0] + p[x[0][0]][x[0][1]][0])[1][1]
+        text = max(paths.items(), key=lambda x: x[1][0] + p[x[0][0]][x[0][1]][0])[1][2]
+        parts = []
+        while text:
+            text, more = text
+            parts.append(more)
+        return "".join(reversed(parts))
 
 
 def disguised(raw: np.ndarray, at: np.ndarray) -> list[tuple[int, str]]:

@@ -131,6 +131,21 @@ def test_disguises_are_undone(toxic_model, disguise):
     assert "idiot" in {decoder.read(s) for _, s in toxicity.disguised(raw, np.array([0, len(raw)]))}
 
 
+@pytest.mark.parametrize("gap", [" ", "  "])
+def test_long_spelled_spans_are_read_whole(toxic_model, gap):
+    plain = ["the", "of", "and"] * 40
+    for k in range(5, len(plain), 9):
+        plain[k] = "idiot"
+    span = gap.join(" ".join(w) for w in plain)
+    assert len(span) > 3 * 200
+    raw = np.frombuffer(span.encode(), np.uint8)
+    decoder = toxicity.Decoder(toxic_model.letters)
+    found = [decoder.read(s) for _, s in toxicity.disguised(raw, np.array([0, len(raw)]))]
+    assert len(found) == 1 and found[0].replace(" ", "") == "".join(plain)
+    assert found[0].split(" ").count("idiot") >= 10 and max(map(len, found[0].split(" "))) < 20
+    assert toxic_model.score(raw, np.array([0, len(raw)]), decoder)[0] > 0.5
+
+
 def test_disguised_texts_score_like_plain_ones(toxic_model):
     decoder = toxicity.Decoder(toxic_model.letters)
 
