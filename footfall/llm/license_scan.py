@@ -1,15 +1,17 @@
 """Licence scans: Dice coefficients of word bigrams against licence templates.
 
 Texts are normalised to lower-case runs of letters and digits. A template is
-compared to units of a text: its lines, runs of neighbouring lines that share
-much with templates, and the whole text. The Dice coefficient of two multisets
-of bigrams is at least t only if the smaller has t / (2 - t) of the larger's
-size, which prunes templates; a unit is a candidate only if enough of its
-bigrams occur in some template.
+compared to all windows of a text's words that begin and end with a bigram of
+the template (a longer window has a smaller coefficient), across and inside
+lines. The Dice coefficient of two multisets of bigrams is at least t only if
+the smaller has t / (2 - t) of the larger's size, which bounds windows; a
+window is begun only where enough of the template's bigrams follow.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import NON_ALNUM, blocks, gram_hash, words
+from ._text import NON_ALNUM, blocks, gram_hash, hash_of, words
 
 #: Least Dice coefficient of a match.
 LEAST = 0.8
@@ -52,6 +54,9 @@ TEMPLATES = [
     ("proprietary", "All rights reserved."),
 ]
 
+#: Cells (window begun by window ended) that are compared at once.
+CELLS = 1 << 20
+
 _RUN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -75,16 +80,19 @@ class Templates:
         self.least = least
         self.all = sorted(((b.total(), name, b) for name, text in templates if (b := bigrams(text))), key=lambda x: x[:2])
         self.sizes = np.array([n for n, _, _ in self.all])
-        raw = "\n".join(t for _, t in templates).encode()
-        ends = np.cumsum([0] + [len(t.encode()) + 1 for _, t in templates])
-        ends[-1] = len(raw)
-        w = words(np.frombuffer(raw, np.uint8), ends, NON_ALNUM)
-        g = gram_hash(w.hash, 2)
-        self.known = np.unique(g[w.doc[:-1] == w.doc[1:]])
+        hashes = [gram_hash(hash_of(" ".join(_RUN.findall(text.translate(_UPPER))), NON_ALNUM), 2) for _, text in templates]
+        self.known = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.known >> np.uint64(48)] = True
         #: A unit of m bigrams has a coefficient of t with one of n >= m / bound only if t * (m + n) / 2 are common.
         self.bound = least / (2 - least)
+        #: (licence, size, how often each known bigram occurs, which of them each template lacks that is of another licence and has most)
+        counts = [(name, np.bincount(np.searchsorted(self.known, g), minlength=len(self.known))) for (name, _), g in zip(templates, hashes, strict=True) if len(g)]
+        self.each = [(name, int(c.sum()), c, [x == 0 for other, x in counts if other != name and c[x > 0].sum() >= self.need(int(c.sum()))]) for name, c in counts]
+
+    def need(self, n: int) -> int:
+        """A window of m >= n * bound bigrams that matches a template of n has t * (m + n) / 2 in common with it."""
+        return max(1, int(np.ceil(self.least * n * (1 + self.bound) / 2 - 1e-9)))
 
     def best(self, unit: Counter) -> tuple[float, str] | None:
         """The best match of a unit, of equals the first by name."""
@@ -100,65 +108,117 @@ class Templates:
         """(first line, last line, licence, Dice) of the matches of each text; those of one licence don't overlap."""
         w = words(raw, at, NON_ALNUM)
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in range(len(at) - 1)]
-        if len(w.hash) < 2:
+        if len(w.hash) < 2 or not len(self.known):
             return out
         g = gram_hash(w.hash, 2)
-        hit = self.maybe[g >> np.uint64(48)]
-        place = np.flatnonzero(hit)
-        hit[place] = self.known[np.minimum(np.searchsorted(self.known, g[place]), len(self.known) - 1)] == g[place]
+        place = np.flatnonzero(self.maybe[g >> np.uint64(48)])
+        which = np.minimum(np.searchsorted(self.known, g[place]), len(self.known) - 1)
+        keep = (self.known[which] == g[place]) & (w.doc[place] == w.doc[place + 1])
+        place, which = place[keep], which[keep]
         line_of_byte = np.cumsum(raw == 10)
         line = line_of_byte[w.start]
-        inside = (w.doc[:-1] == w.doc[1:]) & (line[:-1] == line[1:])
-        key = np.cumsum(np.concatenate([[0], (w.doc[1:] != w.doc[:-1]) | (line[1:] != line[:-1])]))
-        m = int(key[-1]) + 1
-        total = np.bincount(key[:-1][inside], minlength=m)
-        shared = np.bincount(key[:-1][inside & hit], minlength=m)
-        # A match has at least t of t * (m + n) / 2 >= t * m * (1 + bound) / 2 of its bigrams in common with its template.
-        part = self.least * (1 + self.bound) / 2
-        good = (shared >= part * total - 1e-9) & (total > 0)
-        first = np.searchsorted(key, np.arange(m))
-        doc = w.doc[first]
+        new = np.ones(len(w.doc) + 1, bool)
+        new[1:-1] = (w.doc[1:] != w.doc[:-1]) | (line[1:] != line[:-1])
+        by_doc: dict[int, list[tuple[_Windows, int]]] = {}
+        for name, n, count, lacks in self.each:
+            mine = count[which] > 0
+            x = _Windows(self, name, n, place[mine], which[mine], count, lacks, w.doc, new)
+            for i in x.begin:
+                by_doc.setdefault(int(w.doc[x.place[i]]), []).append((x, int(i)))
         base = np.concatenate([[0], line_of_byte])[at[:-1]]
-        for d in np.unique(doc[good]):
-            text = raw[at[d] : at[d + 1]].tobytes().decode("utf-8", "replace")
-            lines = text.split("\n")
-            keys = np.flatnonzero(doc == d) if len(at) == 2 else np.arange(np.searchsorted(doc, d), np.searchsorted(doc, d, "right"))
-            numbers = line[first[keys]] - base[d]
-            units, run = [], []
-            for k, n in zip(keys, numbers, strict=True):
-                # Runs go on over lines of one word and those that share half of their bigrams.
-                if total[k] == 0 or 2 * shared[k] >= total[k]:
-                    run.append(int(n))
-                    if good[k]:
-                        units.append((int(n), int(n)))
-                else:
-                    if len(run) > 1:
-                        units.append((run[0], run[-1]))
-                    run = []
-            if len(run) > 1:
-                units.append((run[0], run[-1]))
-            if len(numbers) > 1:
-                units.append((int(numbers[0]), int(numbers[-1])))
-            found = []
-            for a, b in dict.fromkeys(units):
-                if match := self.best(bigrams("\n".join(lines[a : b + 1]))):
-                    found.append((a, b, match[1], match[0]))
-            # Of overlapping units of one licence the closest counts, then the longest, then the first.
-            for x in sorted(found, key=lambda x: (-x[3], x[0] - x[1], x[0])):
-                if not any(y[2] == x[2] and y[0] <= x[1] and x[0] <= y[1] for y in out[d]):
-                    out[d].append(x)
-            out[d].sort()
+        for d, begins in by_doc.items():
+            out[d] = sorted((int(line[a] - base[d]), int(line[b] - base[d]), name, dice) for a, b, name, dice in _choose(begins))
         return out
 
 
+class _Windows:
+    """The windows that match one template; ``begin`` are the places that begin one."""
+
+    def __init__(self, table: Templates, name: str, n: int, place: np.ndarray, which: np.ndarray, count: np.ndarray, lacks: list[np.ndarray], doc: np.ndarray, new: np.ndarray):
+        self.least, self.name, self.n, self.place = table.least, name, n, place
+        longest, need = int(n / table.bound + 1e-9), table.need(n)
+        last = np.searchsorted(doc, doc[place], "right") if len(place) else place
+        self.stop = np.searchsorted(place, np.minimum(place + longest, last))
+        begin = np.flatnonzero(self.stop - np.arange(len(place)) >= need)
+        self.begin = begin
+        if not len(begin):
+            return
+        #: The place so many occurrences of the same bigram before that a window with both has one too many.
+        order = np.argsort(which, kind="stable")
+        first = np.searchsorted(which[order], which[order])
+        rank, back = np.arange(len(order)) - first, count[which[order]]
+        self.before = np.full(len(place), -1)
+        far = rank >= back
+        self.before[order[far]] = order[np.flatnonzero(far) - back[far]]
+        #: How many bigrams up to a place tell the template from each that has most of it; inside a line some must.
+        self.told = [np.concatenate([[0], np.cumsum(x[which])]) for x in lacks]
+        self.head, self.tail = new[place], new[place + 2]
+        self.dice, self.end = np.zeros(len(place)), np.zeros(len(place), np.int64)
+        width = int((self.stop[begin] - begin).max())
+        for a in range(0, len(begin), max(1, CELLS // width)):
+            some = begin[a : a + max(1, CELLS // width)]
+            self.dice[some], self.end[some] = self.best(some, self.stop[some])
+        self.begin = begin[self.dice[begin] > 0]
+
+    def best(self, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest coefficient of windows from each of ``begin`` that end before ``stop`` (0 for none), and the last place of the longest such."""
+        k = begin[:, None] + np.arange(max(1, int((stop - begin).max())))
+        ok = k < stop[:, None]
+        k = np.minimum(k, len(self.place) - 1)
+        common = np.cumsum((self.before[k] < begin[:, None]) & ok, axis=1)
+        dice = 2 * common / (self.place[k] - self.place[begin][:, None] + 1 + self.n)
+        ok &= dice >= self.least - 1e-12
+        lines = self.head[begin][:, None] & self.tail[k]
+        for told in self.told:
+            ok &= lines | (told[k + 1] > told[begin][:, None])
+        dice = np.where(ok, dice, 0.0)
+        at = dice.shape[1] - 1 - dice[:, ::-1].argmax(axis=1)
+        row = np.arange(len(begin))
+        return dice[row, at], k[row, at]
+
+
+def _choose(begins: list[tuple[_Windows, int]]) -> list[tuple[int, int, str, float]]:
+    """(first word, last word, licence, Dice) of the windows that count.
+
+    Of overlapping windows of one licence the closest counts, then the longest,
+    then the first; one that it cuts ends before it. A window that lies mostly
+    in a closer one of another licence doesn't count.
+    """
+
+    def entry(x: _Windows, i: int, dice: float, end: int) -> tuple:
+        first, last = int(x.place[i]), int(x.place[end]) + 1
+        return -dice, first - last, first, x.name, next(turn), last, x, i
+
+    turn, taken = itertools.count(), []
+    queue = [entry(x, i, float(x.dice[i]), int(x.end[i])) for x, i in begins]
+    heapq.heapify(queue)
+    while queue:
+        dice, _, first, name, _, last, x, i = heapq.heappop(queue)
+        same = [(a, b) for a, b, n, _ in taken if n == name and a <= last and first <= b]
+        if any(a <= first for a, _ in same):
+            continue
+        if same:
+            stop = np.searchsorted(x.place, [min(a for a, _ in same) - 1])
+            if stop[0] > i:
+                d, end = x.best(np.array([i]), stop)
+                if d[0] > 0:
+                    heapq.heappush(queue, entry(x, i, float(d[0]), int(end[0])))
+            continue
+        if any(n != name and 2 * (min(b, last) - max(a, first) + 1) > last - first + 1 for a, b, n, _ in taken):
+            continue
+        taken.append((first, last, name, -dice))
+    return taken
+
+
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """One row per row of ``docs``: doc_id, licence, dice, licences, matches.
 
-    ``matches`` are (first_line, last_line, licence, dice) of the units with a
-    Dice coefficient of at least ``least`` (0.5 or more) with a template;
+    ``matches`` are (first_line, last_line, licence, dice) of the windows of
+    words, across and inside lines, with a Dice coefficient of at least
+    ``least`` (0.5 or more) with a template; two can be in one line;
     ``licence`` and ``dice`` are the best, of equals the first by name (null
     and 0 without any), ``licences`` all names in order. Null and empty texts
-    match nothing; units of fewer than two words have no bigrams. Repeated rows
+    match nothing; windows of fewer than two words have no bigrams. Repeated rows
     are each returned; only doc_id and text are read. Texts are whole.
     """
     table = Templates(templates, least)

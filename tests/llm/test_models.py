@@ -280,6 +280,25 @@ def test_licences_against_brute_force(spark):
             assert r.licence is None and r["matches"] == []
 
 
+def test_licences_next_to_others_and_inside_lines(spark):
+    texts = dict((n, t) for n, t in license_scan.TEMPLATES if len(t) > 250)
+    wrap = lambda t: "\n".join(" ".join(t.split(" ")[k : k + 12]) for k in range(0, len(t.split(" ")), 12))
+    notice = "Licensed under the MIT License."
+    rng = random.Random(5)
+    cases = [
+        (f"{wrap(texts['MIT'])}\n\n{wrap(texts['BSD-2-Clause'])}", ["BSD-2-Clause", "MIT"], 2),
+        (f"{wrap(texts['Apache-2.0'])}\n\n{wrap(texts['MIT'])}", ["Apache-2.0", "MIT"], 2),
+        (f"{prose(rng, 40)} {notice} {prose(rng, 40)}", ["MIT"], 1),
+        (" ".join(prose(rng, 30) + " " + t for t in texts.values()), sorted(texts), len(texts)),
+        (f"{wrap(texts['ISC'])}\n\n{wrap(texts['ISC'].replace('Permission to use', 'Leave to use', 1))}", ["ISC"], 2),
+        ("This work is licensed under the GNU General Public License, version 3. SPDX-License-Identifier: GPL-3.0", ["GPL-3.0"], 1),
+        (prose(rng, 400), [], 0),
+    ]
+    rows = [(i, t, None, None, None) for i, (t, _, _) in enumerate(cases)]
+    got = {r.doc_id: (list(r.licences), len(r.matches)) for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == {i: (names, n) for i, (_, names, n) in enumerate(cases)}
+
+
 def test_size_bounds_prune_nothing_that_matches():
     rng = random.Random(4)
     table = license_scan.Templates(license_scan.TEMPLATES, 0.8)
