@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._draw import draw, once
 from ._text import LOWER, blocks
 
 DIM_BITS, GRAMS, LANDMARKS, RIDGE = 22, (1, 2, 3, 4), 256, 1e-3
 DIMS = 1 << DIM_BITS
-#: Expected training texts of each language; all of a language that has fewer.
+#: Distinct training texts of each language; all of a language that has fewer.
 SAMPLE = 600
 #: Texts whose letters are looked for at once.
 ROWS = 512
@@ -144,28 +145,25 @@ def fit(texts: list[Spectrum], labels: list[str]) -> Model:
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in once(batches):
         for lo, hi, raw, at in blocks(batch.column(1)):
             bits = [x.bits.tobytes() for x in spectra(raw, at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(bits, pa.binary())], ["lang", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(bits, pa.binary())], ["lang", "hash", "bits"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of (text, lang), from about ``sample`` texts of each language, chosen by a hash of the text.
+    """A model of (text, lang), from the ``sample`` distinct texts of each language whose hashes are the least.
 
-    None if no language has LEAST texts. Texts without a letter and null
-    languages are not learned from.
+    None if no language has LEAST rows. Texts without a letter and null
+    languages are not learned from; copies count once.
     """
     some = docs.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect() if r["n"] >= LEAST}
-    if not counts:
+    langs = [r["lang"] for r in some.groupBy("lang").count().where(F.col("count") >= LEAST).collect()]
+    if not langs:
         return None
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1.0, sample / n) * (1 << 30)) + 1))
-    rows = some.where(chosen).mapInArrow(_presence, "lang string, bits binary").toPandas()
-    rows = rows.sort_values(["lang", "bits"], kind="stable")
+    drawn, _ = draw(some.where(F.col("lang").isin(langs)), "lang", sample)
+    rows = drawn.mapInArrow(_presence, "lang string, hash long, bits binary").dropDuplicates(["lang", "hash"]).toPandas()
+    rows = rows.sort_values(["lang", "hash"])
     return fit([Spectrum(np.frombuffer(b, np.uint32)) for b in rows["bits"]], rows["lang"].tolist())
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._draw import draw, once
 from ._text import LOWER, NON_ALNUM, SPACE, blocks, mix, span_hash, words
 
 #: What a character may be written for (besides itself).
@@ -34,7 +35,7 @@ SIGN, JOINT, REPEAT, DOUBLE, KEEP = -0.5, -0.05, -0.3, -1.0, -9.0
 BREAK = -1.0
 #: Doubled letters count as many or few within so many characters to either side.
 NEAR = 200
-#: Labelled texts that are learned from, expected; all if there are fewer.
+#: Distinct texts of each label that are learned from; all if there are fewer.
 SAMPLE = 12_000
 #: Word beginnings of so many bytes are features besides whole words.
 BEGINNINGS = (4, 5, 6)
@@ -248,8 +249,9 @@ def _weight_table(ids: bytes, weights: bytes) -> np.ndarray:
     return table
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, letters: np.ndarray) -> Model:
-    """Logistic regression over the significant features of labelled texts (one id array for each)."""
+def fit(rows: list[np.ndarray], toxic: np.ndarray, letters: np.ndarray, each: np.ndarray | None = None) -> Model:
+    """Logistic regression over the significant features of labelled texts (one id array for each; ``each`` is what one counts)."""
+    each = np.ones(len(toxic)) if each is None else each
     positive = int(toxic.sum())
     if not positive or positive == len(toxic):
         return Model(letters, bias=3.0 if positive else -3.0)
@@ -274,7 +276,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, letters: np.ndarray) -> Model
     m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     for step in range(1, 401):
         logit = bias + np.bincount(doc, weight[col], len(toxic))
-        gap = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic
+        gap = each * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic)
         grad = np.append(np.bincount(col, gap[doc], len(ids)) + 0.05 * weight, gap.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -284,29 +286,35 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, letters: np.ndarray) -> Model
 
 
 def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Letter model of all ``docs``; weights from about ``sample`` rows of ``labelled`` (text, toxic), chosen by a hash of the text."""
+    """Letter model of all ``docs``; weights from ``labelled`` (text, toxic).
+
+    Of each label the ``sample`` distinct texts whose hashes are the least are
+    learned from. If a label has more, its texts count as much more.
+    """
     letters = letter_model(docs)
     some = labelled.where("toxic IN (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
-    count = some.count()
-    if not count:
+    drawn, sizes = draw(some, "toxic", sample)
+    if not sizes:
         return Model(letters)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= int(min(1.0, sample / count) * (1 << 30))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(letters)
-        for batch in batches:
-            for lo, hi, raw, at in blocks(batch.column(0)):
+        for batch in once(batches):
+            for lo, hi, raw, at in blocks(batch.column(1)):
                 doc, f = features(raw, at, decoder)
                 pairs = np.unique((doc.astype(np.uint64) << np.uint64(FEATURE_BITS)) | f)
                 first = np.searchsorted(pairs >> np.uint64(FEATURE_BITS), np.arange(hi - lo + 1, dtype=np.uint64))
                 ids = (pairs & np.uint64((1 << FEATURE_BITS) - 1)).astype(np.uint32)
                 rows = [ids[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["toxic", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["toxic", "hash", "ids"])
 
-    rows = some.where(draw).mapInArrow(extract, "toxic int, ids binary").toArrow()
+    rows = drawn.mapInArrow(extract, "toxic int, hash long, ids binary").dropDuplicates(["toxic", "hash"]).drop("hash").toArrow()
     ids = rows["ids"].to_pylist()
     order = sorted(range(len(ids)), key=ids.__getitem__)
-    return fit([np.frombuffer(ids[i], np.uint32) for i in order], rows["toxic"].to_numpy()[order].astype(int), letters)
+    toxic = rows["toxic"].to_numpy()[order].astype(int)
+    count = np.bincount(toxic, minlength=2)
+    each = np.array([sizes.get(k, 0) / max(count[k], 1) for k in (0, 1)])[toxic]
+    return fit([np.frombuffer(ids[i], np.uint32) for i in order], toxic, letters, each / each.mean())
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

@@ -188,6 +188,23 @@ def test_language_of_odd_texts(spark):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+def test_training_draws_distinct_texts(spark, monkeypatch):
+    rng = random.Random(2)
+    some, many = [prose(rng, 30) + " ein" for _ in range(4)], [prose(rng, 30) + " le" for _ in range(50)]
+    rows = [(i, t, lang, None, None) for i, (t, lang) in enumerate([(t, "a") for t in some * 500] + [(t, "b") for t in many])]
+    drawn, fitted = [], language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels: drawn.extend(labels) or fitted(texts, labels))
+    for sample in (3, 20):
+        drawn.clear()
+        assert language_id.train(frame(spark, rows), sample).languages == ["a", "b"]
+        assert collections.Counter(drawn) == {"a": min(sample, 4), "b": sample}
+    marked = spark.createDataFrame([(t, int(lang == "a")) for _, t, lang, *_ in rows], "text string, toxic int")
+    learned = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, toxic, letters, each: learned.append((np.bincount(toxic).tolist(), each[toxic == 0].sum() / each[toxic == 1].sum())))
+    toxicity.train(frame(spark, rows), marked, 10)
+    assert learned[0][0] == [10, 4] and learned[0][1] == pytest.approx(50 / 4, rel=0.2)
+
+
 @pytest.fixture(scope="module")
 def language_model(spark):
     return language_id.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(~language_id.held_out()))
