@@ -28,8 +28,10 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter in the text) go; a null lang becomes the one found."""
+    """Documents without a language (no letter in the text) go; a null lang becomes the one found, if there is any to learn."""
     model = language_id.train(docs.where(~language_id.held_out()))
+    if model is None:
+        return docs.where("doc_id IS NOT NULL AND text RLIKE '\\\\p{L}'").select(*COLUMNS)
     found = language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
     found = found.groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred"))
     joined = docs.join(found, "doc_id")

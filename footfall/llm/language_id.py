@@ -33,8 +33,6 @@ SAMPLE = 600
 ROWS = 512
 #: Presence marks (text by column) that scoring holds at once; one text may need more.
 MARKS = 1 << 23
-#: Languages with fewer training texts than this are not learned.
-LEAST = 3
 UNDETERMINED = "und"
 
 
@@ -154,14 +152,13 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of (text, lang), from the ``sample`` distinct texts of each language whose hashes are the least.
 
-    None if no language has LEAST rows. Texts without a letter and null
+    None if no language has a text. Texts without a letter and null
     languages are not learned from; copies count once.
     """
     some = docs.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select(F.col("lang").cast("string").alias("lang"), "text")
-    langs = [r["lang"] for r in some.groupBy("lang").count().where(F.col("count") >= LEAST).collect()]
-    if not langs:
+    drawn, sizes = draw(some, "lang", sample)
+    if not sizes:
         return None
-    drawn, _ = draw(some.where(F.col("lang").isin(langs)), "lang", sample)
     rows = drawn.mapInArrow(_presence, "lang string, hash long, bits binary").dropDuplicates(["lang", "hash"]).toPandas()
     rows = rows.sort_values(["lang", "hash"])
     return fit([Spectrum(np.frombuffer(b, np.uint32)) for b in rows["bits"]], rows["lang"].tolist())

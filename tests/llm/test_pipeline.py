@@ -1,3 +1,5 @@
+import zlib
+
 import corpus_pipeline as P
 import pytest
 
@@ -35,6 +37,15 @@ def test_language_stage_keeps_what_has_letters(spark, stages):
     assert sorted(rows(stages[0])) == sorted(r for r in docs if any(c.isalpha() for c in r[1] or ""))
 
 
+def test_language_stage_without_much_to_learn_from(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(i, t, None, "s1", 0) for i, t in enumerate(["a word", "é", " 12 !!", "", None])] + [(None, "a word", None, "s1", 0)]
+    assert sorted(rows(P.identify_language(spark, spark.createDataFrame(odd, schema), SF))) == odd[:2]
+    few = [(i, f"a word {i}", "en", "s1", 0) for i in range(100, 120) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    got = rows(P.identify_language(spark, spark.createDataFrame(odd + few, schema), SF))
+    assert sorted(got) == [(i, t, "en", "s1", 0) for i, t, *_ in odd[:2] + few]
+
+
 def test_quality_stage(stages):
     before, after = rows(stages[0]), {r[0] for r in rows(stages[1])}
     failed = {i for i, t, *_ in before if (m := measured(t))[0] < 50 or 100 * m[4] > 50 * m[0]}
