@@ -25,7 +25,7 @@ SPAN, GRAM = 13, 6
 WINDOW = SPAN - GRAM + 1
 #: Items are dealt to the tasks in parts of at most this many bytes of text.
 PART_BYTES = 32 << 20
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+SCHEMA = "doc_id long, text_hash long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
 def winnow(h: np.ndarray, doc: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +157,13 @@ def _scan(part: Items):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, m).cast(pa.int64()),
+                        batch.column(2).slice(lo, m),
                         pa.array(np.diff(w.first), pa.int64()),
                         pa.array(totals[w.first[1:]] - totals[w.first[:-1]], pa.int64()),
                         pa.array(items, pa.list_(pa.string())),
                         pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), spans),
                     ],
-                    ["doc_id", "n_words", "n_hit", "items", "spans"],
+                    ["doc_id", "text_hash", "n_words", "n_hit", "items", "spans"],
                 )
 
     return run
@@ -196,7 +197,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_
     for each distinct id; repeated rows of ``docs`` are each returned; other
     columns are not read.
     """
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("text_hash"))
     found = [base.mapInArrow(_scan(part), SCHEMA) for part in _parts(benchmark, part_bytes)]
     out = found[0]
     if len(found) > 1:
@@ -206,13 +207,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_
 
 
 def _union(found: list[DataFrame]) -> DataFrame:
-    """Adds up what several parts found; rows of one id and length are one document."""
+    """Adds up what several parts found; rows of one id and text are one document."""
     every = found[0]
     for one in found[1:]:
         every = every.unionByName(one)
     hits = F.expr("size(array_distinct(flatten(transform(flatten(collect_list(spans)), s -> sequence(s.start, s.end - 1)))))")
     parts = len(found)
-    rows = every.groupBy("doc_id", "n_words").agg(
+    rows = every.groupBy("doc_id", "text_hash", "n_words").agg(
         hits.cast("long").alias("n_hit"), F.flatten(F.collect_list("items")).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), (F.count("*") / parts).cast("int").alias("copies"))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")

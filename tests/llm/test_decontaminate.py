@@ -79,3 +79,11 @@ def test_digest_and_empty_tables(spark, tmp_path):
     assert D.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert D.contamination(docs.limit(0), items).count() == 0
     assert D.contamination(docs.withColumn("text", F.lit("x")), items).where("contaminated").count() == 0
+
+
+def test_parts_keep_texts_of_one_id_apart(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(20)) for k in "ab")
+    rows = [(i, t, None, None, None) for i in (None, 7) for t in (a, b, a, " ".join(["c"] * 20))]
+    items = spark.createDataFrame([("1", a), ("2", b)], "item_id string, text string")
+    one, two = (sorted(((r.doc_id or 0, r.n_hit, r["items"], r.contaminated) for r in D.contamination(frame(spark, rows), items, size).collect())) for size in (1 << 20, 10))
+    assert one == two == sorted((i, n, x, n > 0) for i in (0, 7) for n, x in [(20, ["1"]), (20, ["2"]), (20, ["1"]), (0, [])])
