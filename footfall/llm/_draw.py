@@ -25,10 +25,13 @@ def draw(rows: DataFrame, by: str, n: int) -> tuple[DataFrame, dict]:
     Returns ``by``, text and hash. All copies of a drawn text are returned, as
     a hash alone decides; ``once`` leaves one. Of a value with at most n texts
     all are drawn, and their number is exact. Nulls of ``by`` are not drawn.
+    Where ``rows`` are a join, give them a column ``hash`` (xxhash64 of the
+    text) from before it, so that only drawn texts go through the join.
     """
-    rows = rows.where(F.col(by).isNotNull()).select(by, "text", F.xxhash64("text").alias("hash"))
+    joined = "hash" in rows.columns
+    rows = rows.where(F.col(by).isNotNull()).select(by, "text", F.col("hash") if joined else F.xxhash64("text").alias("hash"))
     sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.approx_count_distinct("hash").alias("n")).collect()}
-    bounds, open_, factor = {}, dict(sizes), 1.5
+    bounds, chosen, open_, factor = {}, set(), dict(sizes), 1.5
     while open_:
         rates = {v: min(1.0, factor * (n + 50) / max(k, 1)) for v, k in open_.items()}
         limits = {v: min(_LEAST + int(rate * _SPAN), -_LEAST - 1) for v, rate in rates.items()}
@@ -38,11 +41,15 @@ def draw(rows: DataFrame, by: str, n: int) -> tuple[DataFrame, dict]:
         for v, hashes in found.items():
             whole = rates[v] == 1.0
             if whole or len(hashes) >= n:
-                bounds[v] = sorted(hashes)[:n][-1]
+                least = sorted(hashes)[:n]
+                bounds[v] = least[-1]
+                chosen.update(least)
                 if whole:
                     sizes[v] = len(hashes)
                 del open_[v]
         factor *= 4
+    if joined and chosen:  # a condition on the hash alone is checked before the join
+        rows = rows.where(f"hash IN ({','.join(f'{h}L' for h in sorted(chosen))})")
     return rows.where(_below(by, bounds)), sizes
 
 

@@ -292,7 +292,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
     learned from. If a label has more, its texts count as much more.
     """
     letters = letter_model(docs)
-    some = labelled.where("toxic IN (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
+    some = labelled.where("toxic IN (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), *[c for c in labelled.columns if c == "hash"])
     drawn, sizes = draw(some, "toxic", sample)
     if not sizes:
         return Model(letters)
@@ -343,7 +343,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text of ``documents``, learned from labels that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()).select("doc_id", "toxic")
-    model = train(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = train(docs, docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(labels, "doc_id"))
     out = score_toxicity(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
