@@ -1,11 +1,15 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each document's measures are one projection over its whole text. Mergeable
-quantile sketches of every measure are kept for each language and source; the
-sketches of a language are the merged ones of its sources and stand in where a
-source has few documents. A document goes if a measure is beyond its group's
-threshold: the upper quartile plus ``SPREADS`` times the distance between the
-quartiles, and at least ``MARGINS`` above the median.
+quantile sketches of every measure's share are kept for each language and
+source; those of a language are the merged ones of its sources, and those of
+all documents the merged ones of the languages. A group's threshold is its
+85 % quantile plus ``SPREADS`` times the distance to its median. It is drawn
+towards the language's as if ``PRIOR`` documents had that one, and the
+language's towards that of all in the same way, so small groups lean on more
+documents without a limit at which they change. A document goes if a count of
+its own is significantly more than its group's threshold allows for its length:
+by ``ERRORS`` standard errors. No cutoff of a share is fixed.
 """
 
 from __future__ import annotations
@@ -17,15 +21,17 @@ from ._store import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Measures, and the least distance above a group's median at which they count against a document.
-MARGINS = {"symbol_share": 0.02, "shout_share": 0.02, "upper_share": 0.25, "dup_line_share": 0.45, "repeat_share": 0.45}
+#: Measured shares: the count, and what it is a share of.
+MEASURES = {"symbol_share": ("n_symbols", "word_chars"), "shout_share": ("n_shouts", "word_chars"), "upper_share": ("n_upper", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}
 #: Clean texts this short have few characters to take shares of.
 MIN_WORDS = 50
-SPREADS = 3.0
+QUANTILES, SPREADS = (0.5, 0.85), 2.0
+#: Documents' worth of the wider group's threshold in each group's own.
+PRIOR = 25
+#: Standard errors by which a count is above what the threshold allows; of a threshold of 0, its square is the count allowed.
+ERRORS = 5.0
 #: Of the sketches: exact for groups of up to this many documents, else a rank error of about 2.3 / SKETCH_K.
 SKETCH_K = 4096
-#: Groups of fewer documents take the thresholds of their language.
-MIN_GROUP = 100
 
 
 def repeat_words(words: Column, n: Column) -> Column:
@@ -80,50 +86,56 @@ def measures(docs: DataFrame) -> DataFrame:
         F.char_length(F.regexp_replace("joined", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
         F.char_length(F.regexp_replace("joined", "[^!]+", "")).cast("long").alias("n_shouts"),
     )
-    chars, words = F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
-    return base.select(
-        "*",
-        (F.col("n_symbols") / chars).alias("symbol_share"),
-        (F.col("n_shouts") / chars).alias("shout_share"),
-        (F.col("n_upper") / chars).alias("upper_share"),
-        (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_line_share"),
-        (F.col("n_repeat_words") / words).alias("repeat_share"),
-    )
+    return base.select("*", *[(F.col(x) / F.greatest(F.col(n), F.lit(1))).alias(m) for m, (x, n) in MEASURES.items()])
+
+
+def _raw(sketch: Column) -> Column:
+    """A threshold from one sketch."""
+    mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in QUANTILES)
+    return high + F.lit(SPREADS) * (high - mid)
+
+
+def _drawn(n: Column, own: Column, wider: Column) -> Column:
+    return (n * own + F.lit(PRIOR) * wider) / (n + F.lit(PRIOR))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source and each measure's threshold ``<measure>_max``, from sketches of all documents with words."""
     some = measured.where("n_words > 0")
-    group = some.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in MARGINS])
-    whole = group.groupBy("lang").agg(*[F.kll_merge_agg_double(m, SKETCH_K).alias(f"{m}_all") for m in MARGINS])
-    both = group.alias("g").join(whole.alias("w"), F.col("g.lang").eqNullSafe(F.col("w.lang")))
+    one = F.lit(1).alias("one")
+    group = some.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in MEASURES])
+    wider = group.groupBy("lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, SKETCH_K).alias(m) for m in MEASURES])
+    every = wider.groupBy(one).agg(*[_raw(F.kll_merge_agg_double(m, SKETCH_K)).alias(m) for m in MEASURES])
+    wide = wider.withColumn("one", one).alias("w").join(every.alias("a"), "one").select("w.lang", *[_drawn(F.col("w.n"), _raw(F.col(f"w.{m}")), F.col(f"a.{m}")).alias(m) for m in MEASURES])
+    both = group.alias("g").join(wide.alias("w"), F.col("g.lang").eqNullSafe(F.col("w.lang")))
+    return both.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *[_drawn(F.col("g.n"), _raw(F.col(f"g.{m}")), F.col(f"w.{m}")).alias(f"{m}_max") for m in MEASURES])
 
-    def most(m: str) -> Column:
-        sketch = F.when(F.col("g.n") < MIN_GROUP, F.col(f"{m}_all")).otherwise(F.col(f"g.{m}"))
-        low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
-        return F.greatest(high + F.lit(SPREADS) * (high - low), mid + F.lit(MARGINS[m])).alias(f"{m}_max")
 
-    return both.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *[most(m) for m in MARGINS])
+def _beyond(m: str) -> Column:
+    """Whether a count is more than a threshold allows, by ERRORS standard errors (of a binomial, and of a count of few)."""
+    x, n = (F.col(f"m.{c}") for c in MEASURES[m])
+    most = F.least(F.col(f"t.{m}_max"), F.lit(1.0))
+    return F.coalesce(x > n * most + F.lit(ERRORS) * F.sqrt(n * most * (1 - most)) + F.lit(ERRORS * ERRORS), F.lit(False))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: counts, shares, thresholds, base_failed and kept.
 
     base_failed: fewer than 50 words, or more than half of them in repeated
-    three-word windows. kept: not base_failed and no measure above its group's
+    three-word windows. kept: not base_failed and no count beyond its group's
     threshold. Null and empty texts have no words and fail. Null languages and
     sources are groups of their own. Repeated rows are each returned; columns
-    but doc_id, text, lang and source are not read. Groups of equal values have
-    quartiles that meet, so only the margin counts there.
+    but doc_id, text, lang and source are not read. In groups of equal values
+    the threshold is that value, drawn to the wider group's.
     """
     measured, _ = cut(measures(docs))
     limits = thresholds(measured)
     joined = measured.alias("m").join(limits.alias("t"), F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
     failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
     beyond = F.lit(False)
-    for m in MARGINS:
-        beyond = beyond | F.coalesce(F.col(f"m.{m}") > F.col(f"t.{m}_max"), F.lit(False))
-    return joined.select("m.*", *[f"t.{m}_max" for m in MARGINS], failed.alias("base_failed"), (~failed & ~beyond).alias("kept"))
+    for m in MEASURES:
+        beyond = beyond | _beyond(m)
+    return joined.select("m.*", *[f"t.{m}_max" for m in MEASURES], failed.alias("base_failed"), (~failed & ~beyond).alias("kept"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,17 +144,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_SHARES = {"symbol_share": "n_symbols / greatest(word_chars, 1)", "shout_share": "n_shouts / greatest(word_chars, 1)", "upper_share": "n_upper / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)"}
+_SHARES = {m: f"{x} / greatest({n}, 1)" for m, (x, n) in MEASURES.items()}
+
+
+def _raw_sql(m: str) -> str:
+    """A threshold in SQL; the sketches are exact for groups of up to SKETCH_K documents."""
+    return f"({m}[2] + {SPREADS}::DOUBLE * ({m}[2] - {m}[1]))"
+
+
+def _quantiles_sql(by: str) -> str:
+    by_, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    inner = f"SELECT {by_}count(*) AS n, {', '.join(f'quantile_disc({m}, {list(QUANTILES)}) AS {m}' for m in MEASURES)} FROM m WHERE n_words > 0 {group}"
+    return f"SELECT {by_}n, {', '.join(f'{_raw_sql(m)} AS {m}' for m in MEASURES)} FROM ({inner})"
 
 
-def _limit_sql(m: str) -> str:
-    """The threshold in SQL; the sketches are exact for groups of up to SKETCH_K documents."""
-    low, mid, high = (f"CASE WHEN g.n < {MIN_GROUP} THEN a.{m}[{k}] ELSE g.{m}[{k}] END" for k in (1, 2, 3))
-    return f"greatest({high} + {SPREADS} * ({high} - {low}), {mid} + {MARGINS[m]}) AS {m}_max"
+def _drawn_sql(m: str, own: str, wider: str) -> str:
+    return f"({own}.n * {own}.{m} + {PRIOR} * {wider}.{m}) / ({own}.n + {PRIOR}) AS {m}"
 
 
-def _sketches_sql(by: str) -> str:
-    return f"SELECT {by}, count(*) AS n, {', '.join(f'quantile_disc({m}, [0.25, 0.5, 0.75]) AS {m}' for m in MARGINS)} FROM m WHERE n_words > 0 GROUP BY {by}"
+def _beyond_sql(m: str) -> str:
+    x, n = MEASURES[m]
+    most = f"least(l.{m}, 1::DOUBLE)"
+    return f"coalesce({x} > {n} * {most} + {ERRORS}::DOUBLE * sqrt({n} * {most} * (1 - {most})) + {ERRORS * ERRORS}::DOUBLE, false)"
 
 
 OP10_SQL = rf"""
@@ -155,10 +178,11 @@ c AS (SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
   coalesce(r.n, 0) AS n_repeat_words, length(regexp_replace(array_to_string(w, ''), '\P{{Lu}}', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_shouts FROM t LEFT JOIN r USING (doc_id)),
 k AS (SELECT *, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM c),
 m AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _SHARES.items())} FROM k),
-g AS ({_sketches_sql("lang, source")}), a AS ({_sketches_sql("lang")}),
-l AS (SELECT g.lang, g.source, {', '.join(map(_limit_sql, MARGINS))} FROM g JOIN a ON g.lang IS NOT DISTINCT FROM a.lang)
+g AS ({_quantiles_sql("lang, source")}), w AS ({_quantiles_sql("lang")}), a AS ({_quantiles_sql("")}),
+v AS (SELECT w.lang, {', '.join(_drawn_sql(m, "w", "a") for m in MEASURES)} FROM w, a),
+l AS (SELECT g.lang, g.source, {', '.join(_drawn_sql(m, "g", "v") for m in MEASURES)} FROM g JOIN v ON g.lang IS NOT DISTINCT FROM v.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({' OR '.join(f'coalesce({n} > {n}_max, false)' for n in MARGINS)}) AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({' OR '.join(map(_beyond_sql, MEASURES))}) AS kept
 FROM m LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source
 """
 

@@ -27,20 +27,45 @@ def test_counts(spark):
         assert r.base_failed == (n < 50 or 100 * repeats > 50 * n) and not (r.kept and r.base_failed)
 
 
-def test_thresholds_are_quantiles_of_each_group(spark, monkeypatch):
+def raw(values):
+    mid, high = (np.quantile(values, q, method="inverted_cdf") for q in Q.QUANTILES)
+    return high + Q.SPREADS * (high - mid)
+
+
+def drawn(own, wider):
+    return (len(own) * raw(own) + Q.PRIOR * wider) / (len(own) + Q.PRIOR)
+
+
+def test_thresholds_follow_each_group(spark):
+    """At the shipped constants sources have cutoffs of their own, from quantiles alone, and keep what is normal in them."""
     import random
 
     rng = random.Random(1)
-    monkeypatch.setattr(Q, "MIN_GROUP", 30)
-    rows = [(i, prose(rng, 80) + " #" * (i % 7 if i % 2 else 40 + i % 9), "en", "plain" if i % 2 else "marked", 1) for i in range(200)]
-    rows += [(300, prose(rng, 80) + " #" * 60, "en", "rare", 1)]
+    rows = [(i, prose(rng, 80) + " #" * (60 + i % 9 if i % 2 else i % 3), "en", "marked" if i % 2 else "plain", 1) for i in range(400)]
+    rows += [(500, prose(rng, 80) + " #" * 60, "en", "rare", 1), (501, prose(rng, 80) + " #" * 60, "en", "plain", 1), (502, prose(rng, 80), "de", None, 1)]
     out = Q.quality_rules(frame(spark, rows)).toPandas()
-    for source in ("plain", "marked", "rare"):
-        group = out[out.source == source] if source != "rare" else out
-        low, mid, high = (np.quantile(group.symbol_share, q, method="inverted_cdf") for q in (0.25, 0.5, 0.75))
-        want = max(high + Q.SPREADS * (high - low), mid + Q.MARGINS["symbol_share"])
-        assert np.allclose(out[out.source == source].symbol_share_max, want)
-    assert out[out.source == "marked"].kept.all()  # what is normal in a source stays
+    for m in Q.MEASURES:
+        for lang, source in (("en", "plain"), ("en", "marked"), ("en", "rare"), ("de", None)):
+            wide = out[(out.doc_id == 502) if lang == "de" else (out.doc_id != 502)]
+            group = wide[wide.source.isna() if source is None else wide.source == source]
+            assert np.allclose(group[f"{m}_max"], drawn(group[m], drawn(wide[m], raw(out[m]))), rtol=1e-12), (m, source)
+    limit = out.groupby("source").symbol_share_max.first()
+    assert 4 * limit["plain"] < limit["marked"] < limit["rare"]  # of few documents: nearly that of all
+    assert out[out.source == "marked"].kept.all() and out[(out.source == "plain") & (out.doc_id < 400)].kept.all()
+    assert not out[out.doc_id == 501].kept.any()  # what is normal elsewhere goes
+
+
+def test_group_size_has_no_switch(spark):
+    """A group's threshold moves by little with one document more."""
+    import random
+
+    rng = random.Random(3)
+    every = [(i, prose(rng, 80) + " #" * (i % 5), "en", "big", 1) for i in range(300)] + [(1000 + i, prose(rng, 80) + " #" * 50, "en", "small", 1) for i in range(110)]
+    limits = []
+    for n in (98, 99, 100, 101, 102):
+        out = Q.quality_rules(frame(spark, every[: 300 + n])).toPandas()
+        limits.append(out[out.source == "small"].symbol_share_max.iloc[0])
+    assert np.abs(np.diff(limits)).max() < 0.02 * np.mean(limits)
 
 
 def test_junk_goes_and_clean_texts_stay(spark):
