@@ -3,42 +3,50 @@
 Words are hashed, ``GRAM`` consecutive words make a k-gram, and of every
 ``WINDOW`` consecutive k-gram hashes the least is kept (the last of equals).
 As ``GRAM + WINDOW - 1 == SPAN``, two texts that share SPAN words share a kept
-fingerprint inside them. Kept fingerprints of documents and items are joined,
-each hit is extended word by word to the left and right along its diagonal,
-and runs of SPAN words or more count. Items of fewer words than SPAN are whole
-windows of their own; they are joined on the hash of all their words.
+fingerprint inside them. Both sides become tables of fingerprints, each with
+the hash of every SPAN-word window that it was kept for. They are joined on
+the fingerprint, a hit is extended over its windows as far as they are equal,
+too, and hits that overlap or touch are joined to longer spans. Items of fewer
+words than SPAN are whole windows of their own.
+
+Fingerprints of documents whose leading bits no item's has are dropped before
+the join, by a bitmap of bounded size. The benchmark's table has one row a
+window, with the items that have it, so a passage in many documents and many
+items is no product of both. A match needs 128 equal bits of two hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import NON_ALNUM, blocks, gram_hash, words
+from ._store import cut
+from ._text import MULTIPLIERS, NON_ALNUM, blocks, gram_hash, mix, words
 
 SPAN, GRAM = 13, 6
 WINDOW = SPAN - GRAM + 1
-#: Items are dealt to the tasks in parts of at most this many bytes of text.
-PART_BYTES = 32 << 20
-SCHEMA = "doc_id long, text_hash long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+#: Bits of the bitmap: sixteen for each fingerprint of the benchmark, within these bounds (2 ** 26 bits are 8 MB).
+LEAST_BITS, MOST_BITS = 16, 26
+_SALT = np.uint64(0x5851F42D4C957F2D)
+_HIT = pa.struct([("print", pa.int64()), ("window", pa.int64()), ("start", pa.int64()), ("size", pa.int32())])
 
 
-def winnow(h: np.ndarray, doc: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, k-gram hash) of the fingerprints kept of texts laid end to end.
+def winnow(h: np.ndarray, doc: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word of the k-gram kept, its hash) of each window of texts laid end to end.
 
     ``doc`` is each word's text; no k-gram and no window spans two texts, and a
-    text with fewer than k + w - 1 words keeps none.
+    text with fewer than k + w - 1 words has none.
     """
     span = k + w - 1
     i = np.arange(max(0, len(h) - span + 1))
     i = i[doc[i] == doc[i + span - 1]]
     if not len(i):
-        return i, np.zeros(0, np.uint64)
+        return i, i, np.zeros(0, np.uint64)
     g = gram_hash(h, k)
     m = len(g) - w + 1
     best, at = g[w - 1 :].copy(), np.full(m, w - 1, np.int8)
@@ -46,177 +54,122 @@ def winnow(h: np.ndarray, doc: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tu
         less = g[j : j + m] < best
         best[less] = g[j : j + m][less]
         at[less] = j
-    p = i + at[i]
-    keep = np.ones(len(p), bool)
-    keep[1:] = p[1:] != p[:-1]
-    p = p[keep]
-    return p, g[p]
+    return i, i + at[i], best[i]
+
+
+def _window_hash(h: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n words from each of ``start``, not those of gram_hash."""
+    out = np.zeros(len(start), np.uint64)
+    for j in range(n):
+        out += mix(h[start + j] ^ _SALT) * MULTIPLIERS[j]
+    return mix(out + np.uint64(n))
+
+
+def fingerprints(h: np.ndarray, doc: np.ndarray, sizes: list[int], maybe: Bitmap | None = None) -> tuple[np.ndarray, ...]:
+    """(text, print, window, first word, size) of the windows of SPAN words, and of all runs of each shorter size, whose print may be another's."""
+    out = []
+    for n in [*sizes, SPAN]:
+        if n == SPAN:
+            start, _, g = winnow(h, doc)
+        else:
+            start = np.arange(max(0, len(h) - n + 1))
+            start = start[doc[start] == doc[start + n - 1]]
+            g = gram_hash(h, n)[start]
+        if maybe is not None:
+            keep = np.flatnonzero(maybe.has(g))
+            start, g = start[keep], g[keep]
+        out.append((doc[start], g.view(np.int64), _window_hash(h, start, n).view(np.int64), start, np.full(len(start), n, np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class Bitmap:
+    """Which leading bits occur among the benchmark's prints; others are passed over cheaply."""
+
+    def __init__(self, bits: int, cells: np.ndarray):
+        self.shift, self.cells = np.uint64(64 - bits), cells
+
+    def has(self, g: np.ndarray) -> np.ndarray:
+        at = g >> self.shift
+        return (self.cells[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _bitmap(prints: DataFrame, n: int) -> Bitmap:
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * max(n, 1)))))
+    at = F.shiftrightunsigned("print", 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    rows = prints.groupBy(F.shiftrightunsigned(at, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    cells = np.zeros(1 << (bits - 6), np.uint64)
+    cells[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return Bitmap(bits, cells)
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, raw, at in blocks(batch.column(1)):
+            w = words(raw, at, NON_ALNUM)
+            n = np.diff(w.first)
+            doc, g, window, _, size = fingerprints(w.hash, w.doc, sorted(set(n[(n > 0) & (n < SPAN)].tolist())))
+            # Of a short item only its whole sequence counts, and of longer ones only whole windows.
+            keep = size == np.minimum(n[doc], SPAN)
+            doc = doc[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(g[keep]), pa.array(window[keep]), pa.array(size[keep])], ["item", "print", "window", "size"])
 
 
-class Items:
-    """Benchmark items, ready to be looked up: a part of bounded size."""
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """print, window, size and the sorted item ids of each distinct window of ``benchmark`` (item_id, text)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    each = items.mapInArrow(_item_windows, "item string, print long, window long, size int")
+    return each.groupBy("print", "window", "size").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
-    def __init__(self, ids: list[str], texts: list[str | None]):
-        self.ids = ids
-        column = pa.array(texts, pa.large_string())
-        hashes, docs = [], []
-        for lo, _, raw, at in blocks(column):
-            w = words(raw, at, NON_ALNUM)
-            hashes.append(w.hash)
-            docs.append(w.doc + lo)
-        self.hash = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        self.item = np.concatenate([*docs, np.zeros(0, np.int64)])
-        count = np.bincount(self.item, minlength=len(ids))
-        self.first = np.concatenate([[0], np.cumsum(count)])
-        p, g = winnow(self.hash, self.item)
-        order = np.argsort(g, kind="stable")
-        self.at, self.print = p[order], g[order]
-        self.maybe = _bits(self.print)
-        self.short = []  # (length, hashes sorted, item)
-        for n in sorted(set(count[(count > 0) & (count < SPAN)].tolist())):
-            which = np.flatnonzero(count == n)
-            g = gram_hash(self.hash, n)[self.first[which]]
-            order = np.argsort(g, kind="stable")
-            self.short.append((n, g[order], which[order], _bits(g)))
-
-    def runs(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, last word + 1, item) of the windows that occur, joined where they overlap."""
-        n, found = len(h), []
-        if len(self.print):
-            p, g = winnow(h, doc)
-            keep = self.maybe[g >> np.uint64(44)]
-            at, which = _pairs(g[keep], self.print)
-            a, q = p[keep][at], self.at[which]
-            lo, hi = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-            for step, move in ((-1, lo), (1, hi)):
-                live = np.arange(len(a))
-                while len(live):
-                    x, y = a[live] + step * (move[live] + (step > 0)), q[live] + step * (move[live] + (step > 0))
-                    x = x + (-1 if step < 0 else 0)
-                    y = y + (-1 if step < 0 else 0)
-                    ok = (x >= 0) & (x < n) & (y >= 0) & (y < len(self.hash))
-                    x, y = np.where(ok, x, 0), np.where(ok, y, 0)
-                    ok &= (doc[x] == doc[a[live]]) & (self.item[y] == self.item[q[live]]) & (h[x] == self.hash[y])
-                    live = live[ok]
-                    move[live] += 1
-            same = h[a] == self.hash[q] if len(a) else np.zeros(0, bool)
-            begin, end = a - lo, a + hi + 1
-            long = same & (end - begin >= SPAN)
-            found.append((begin[long], end[long], self.item[q[long]]))
-        for size, hashes, item, maybe in self.short:
-            g = gram_hash(h, size)
-            p = np.flatnonzero(maybe[g >> np.uint64(44)])
-            p = p[doc[p] == doc[p + size - 1]]
-            at, which = _pairs(g[p], hashes)
-            found.append((p[at], p[at] + size, item[which]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _bits(h: np.ndarray) -> np.ndarray:
-    """Which of 2**20 leading bit patterns occur, to pass over most hashes cheaply."""
-    out = np.zeros(1 << 20, bool)
-    out[h >> np.uint64(44)] = True
-    return out
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) with a[i] == b[j], for b in order."""
-    lo, hi = np.searchsorted(b, a, "left"), np.searchsorted(b, a, "right")
-    n = hi - lo
-    i = np.repeat(np.arange(len(a)), n)
-    return i, np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(i))
-
-
-def _scan(part: Items):
+
+def _scan(sizes: list[int], maybe: Bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, at in blocks(batch.column(1)):
                 w = words(raw, at, NON_ALNUM)
-                begin, end, item = part.runs(w.hash, w.doc)
-                n = len(w.doc)
-                delta = np.zeros(n + 1, np.int64)
-                np.add.at(delta, begin, 1)
-                np.add.at(delta, end, -1)
-                hit = np.cumsum(delta[:-1]) > 0
-                edge = hit.copy()
-                edge[1:] &= ~(hit[:-1] & (w.doc[1:] == w.doc[:-1]))
-                close = hit.copy()
-                close[:-1] &= ~(hit[1:] & (w.doc[1:] == w.doc[:-1]))
-                edge, close = np.flatnonzero(edge), np.flatnonzero(close)
-                d = w.doc[edge] if n else np.zeros(0, np.int64)
-                spans = pa.StructArray.from_arrays([pa.array(edge - w.first[d], pa.int64()), pa.array(close + 1 - w.first[d], pa.int64())], ["start", "end"])
-                m = hi - lo
-                span_at = np.searchsorted(d, np.arange(m + 1))
-                items: list[list[str]] = [[] for _ in range(m)]
-                if len(begin):
-                    for one in np.unique(np.stack([w.doc[begin], item], 1), axis=0):
-                        items[one[0]].append(part.ids[one[1]])
-                totals = np.concatenate([[0], np.cumsum(hit)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, m).cast(pa.int64()),
-                        batch.column(2).slice(lo, m),
-                        pa.array(np.diff(w.first), pa.int64()),
-                        pa.array(totals[w.first[1:]] - totals[w.first[:-1]], pa.int64()),
-                        pa.array(items, pa.list_(pa.string())),
-                        pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), spans),
-                    ],
-                    ["doc_id", "text_hash", "n_words", "n_hit", "items", "spans"],
-                )
+                doc, *cols = fingerprints(w.hash, w.doc, sizes, maybe)
+                order = np.argsort(doc, kind="stable")
+                doc, (g, window, start, size) = doc[order], (c[order] for c in cols)
+                hits = pa.StructArray.from_arrays([pa.array(g), pa.array(window), pa.array(start - w.first[doc], pa.int64()), pa.array(size)], fields=list(_HIT))
+                ends = pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)), pa.int32())
+                rows = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(np.diff(w.first), pa.int64()), pa.ListArray.from_arrays(ends, hits)], ["doc_id", "t1", "t2", "n_words", "hits"])
 
     return run
 
 
-def _parts(benchmark: DataFrame, part_bytes: int) -> Iterator[Items]:
-    """The items with a text, in parts of at most part_bytes (one item may be longer)."""
-    ids: list[str] = []
-    texts: list[str | None] = []
-    room = part_bytes
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
-    for row in rows.toLocalIterator():
-        if texts and room < len(row["t"]):
-            yield Items(ids, texts)
-            ids, texts, room = [], [], part_bytes
-        ids.append(row["i"])
-        texts.append(row["t"])
-        room -= len(row["t"])
-    yield Items(ids, texts)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, items (ids with an
     occurring window, in order), spans (hit word ranges) and contaminated.
 
-    ``benchmark`` (item_id, text) reaches the tasks in parts of at most
-    ``part_bytes`` of text, so what a task holds is bounded; one pass over
-    ``docs`` for each part. With more than one part, spans and counts come
-    from the union of the parts' spans. Null and empty texts have no words and
-    are clean; null item ids or texts are no items; repeated items count once
-    for each distinct id; repeated rows of ``docs`` are each returned; other
+    ``benchmark`` (item_id, text) and ``docs`` may be of any size: both are
+    joined as tables of fingerprints. What is found depends on a row's text
+    alone, so copies are compared once, and rows with one id or none but
+    different texts stay apart. Null and empty texts have no words and are
+    clean; null item ids or texts are no items; repeated items count once for
+    each distinct id; repeated rows of ``docs`` are each returned; other
     columns are not read.
     """
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("text_hash"))
-    found = [base.mapInArrow(_scan(part), SCHEMA) for part in _parts(benchmark, part_bytes)]
-    out = found[0]
-    if len(found) > 1:
-        out = _union(found)
-    items = F.array_sort(F.array_distinct("items"))
-    return out.select("doc_id", "n_words", "n_hit", items.alias("items"), "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
-
-
-def _union(found: list[DataFrame]) -> DataFrame:
-    """Adds up what several parts found; rows of one id and text are one document."""
-    every = found[0]
-    for one in found[1:]:
-        every = every.unionByName(one)
-    hits = F.expr("size(array_distinct(flatten(transform(flatten(collect_list(spans)), s -> sequence(s.start, s.end - 1)))))")
-    parts = len(found)
-    rows = every.groupBy("doc_id", "text_hash", "n_words").agg(
-        hits.cast("long").alias("n_hit"), F.flatten(F.collect_list("items")).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), (F.count("*") / parts).cast("int").alias("copies"))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
+    windows, _ = cut(benchmark_windows(benchmark))
+    sizes = sorted(r["size"] for r in windows.where(F.col("size") < SPAN).select("size").distinct().collect())  # at most SPAN - 1
+    maybe = _bitmap(windows, windows.count())
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("t1"), F.xxhash64(F.lit(1), docs["text"]).alias("t2"))
+    scanned, _ = cut(base.mapInArrow(_scan(sizes, maybe), "doc_id long, t1 long, t2 long, n_words long, hits array<struct<print:long,window:long,start:long,size:int>>"))
+    text = ["t1", "t2"]
+    once = scanned.where("size(hits) > 0").select(*text, "hits").dropDuplicates(text).select(*text, F.inline("hits"))
+    found, _ = cut(once.join(windows, ["print", "window", "size"]).select(*text, "start", (F.col("start") + F.col("size")).alias("end"), "items"))
+    before = Window.partitionBy(*text).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    marked = found.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int"))
+    marked = marked.withColumn("run", F.sum("new").over(Window.partitionBy(*text).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)))
+    spans = marked.groupBy(*text, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy(*text).agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    items = found.groupBy(*text).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    out = scanned.select("doc_id", *text, "n_words").join(spans.join(items, text), text, "left")
+    n_hit, none = F.coalesce("n_hit", F.lit(0)), "CAST(array() AS %s)"
+    return out.select(
+        "doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.coalesce("items", F.expr(none % "array<string>")).alias("items"),
+        F.coalesce("spans", F.expr(none % "array<struct<start:long,end:long>>")).alias("spans"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+    )
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
