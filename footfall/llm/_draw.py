@@ -61,3 +61,15 @@ def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
         if new:
             yield batch.take(pa.array(new))
+
+
+def most_frequent(counts: DataFrame, by: str, room: int) -> int:
+    """The least count of ``by`` such that at most ``room`` rows have it or more; decided on sixteenths of powers of 2."""
+    cells = counts.groupBy(F.floor(F.log2(by) * 16).alias("cell")).agg(F.count("*").alias("n"), F.min(by).alias("least"), F.max(by).alias("most")).collect()
+    least = 1 + max((r["most"] for r in cells), default=0)
+    for r in sorted(cells, key=lambda r: -r["cell"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["least"]
+    return least

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from footfall.llm import importance, language_id, license_scan, lm_scoring, toxicity
-from footfall.llm.token_counts import PieceCounter, token_counts
+from footfall.llm import token_counts as tokens
+from footfall.llm.token_counts import token_counts
 
 from .helpers import corpus, crc, frame, prose, words
 
@@ -37,15 +38,34 @@ def test_token_counts_are_the_library_s(spark, name):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), count(text), count(text) > 1024)
 
 
-def test_token_counts_start_anew_when_the_table_is_full(monkeypatch):
-    import footfall.llm.token_counts as T
-
-    monkeypatch.setattr(T, "CACHE_ROWS", 50)
-    c = PieceCounter(str(public_tokenizers.path("byte_bpe_50k.json")))
+def test_pre_tokens_are_the_library_s():
+    split = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).pre_tokenizer.pre_tokenize_str
     rng = random.Random(1)
-    for _ in range(6):
-        texts = [prose(rng, 40) + f" w{rng.random()}" for _ in range(3)]
-        assert c.count(texts) == [len(c.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    signs = ["a", "s", "t", "re", "ve", "ll", "m", "d", "'", "'", " ", " ", "  ", "\n", "\t", "1", "é", "½", "！", "　", " ", "-", "_", "S", "R", "́", "🙂", "\x1c"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += [f"a{chr(c)}{chr(c)}1{chr(c)}." for c in [*range(0x3000), *range(0xA000, 0xAC00), *range(0x10000, 0x12000)]]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    doc, begin, end, _ = tokens.pre_tokens(raw, at)
+    got = [[] for _ in texts]
+    for d, a, b in zip(doc, begin, end, strict=True):
+        got[d].append(raw[a:b].tobytes().decode())
+    assert got == [[t[a:b] for _, (a, b) in split(t)] if t else [] for t in texts]
+
+
+@pytest.mark.parametrize("head", [0, 30])
+def test_rare_pre_tokens_are_joined(spark, monkeypatch, head):
+    """Whether few or no pre-tokens reach the tasks as a table, and however often a task starts anew; each is counted once."""
+    monkeypatch.setattr(tokens, "HEAD", head)
+    monkeypatch.setattr(tokens, "HELD", 20)
+    name = "byte_bpe_50k.json"
+    rows = corpus(80)
+    docs = frame(spark, rows + rows[:5])
+    distinct = tokens.distinct_pre_tokens(docs, name).toPandas()
+    assert distinct.token.is_unique and distinct.hash.is_unique
+    library = Tokenizer.from_file(str(public_tokenizers.path(name)))
+    want = sorted((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows + rows[:5])
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts(docs, name).collect()) == want
 
 
 def test_token_counts_of_nothing(spark):
