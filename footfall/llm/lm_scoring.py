@@ -1,19 +1,26 @@
-"""Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
-
-The model predicts a token from the one before it in two steps: the token's
-class (short words by themselves, longer ones by their ending, hashed), and the
-token within its class. Classes come from a log-bilinear model: the score of a
-class after another is the product of two learned vectors plus a bias. It is
-trained in numpy by noise-contrastive estimation against the class frequencies,
-in expectation over the class pairs counted in all training texts, so no text
-is sampled. One matrix product gives all scores, and normalised over each row
-the class log-probabilities. Within a class, seen tokens share the counts of
-all training texts less a discount, which goes to the class's unseen tokens
-(one type for each class, as the unigram base has one for all).
-
-Counts cover all training texts. Tokens of count COMMON and more, of which
-there are at most ``VOCABULARY``, reach the tasks as a table of bounded size;
-the others are joined on their hashes.
+"""Language-model scores: a log-bilinear neural model trained by noise-contrastive estimation.
+
+The model predicts a token from the ``CONTEXT`` tokens before it. Each token is
+a unit of the output layer: the most frequent ones, and the end of a text, by
+themselves, the others by a class of their ending. Every unit has a vector as
+context and one as target. The predicted vector is the sum of the context's,
+each weighted by a vector of its position, and a unit's score is the product of
+its target vector with that, plus a bias. One matrix product scores a batch of
+tokens against all units, and normalised over them gives log-probabilities.
+Inside a class, seen tokens share the counts of all training texts less a
+discount, which goes to the class's unseen tokens (one type for each class, as
+the unigram base has one for all).
+
+Training is numpy in minibatches: a token against ``NOISE`` units drawn anew
+from the unit frequencies for each batch, weighted as ``RATIO`` a token, by
+Adagrad. Each task trains on all its texts from the same start, and the tasks'
+parameters are averaged by their tokens, so all training texts are learned
+from and what moves is of fixed size a task. A task with few texts repeats them
+until it has made ``STEPS`` steps.
+
+Counts cover all training texts. The most frequent tokens, at most
+``VOCABULARY``, reach the tasks as a table of bounded size; the others are
+joined on their hashes.
 """
 
 from __future__ import annotations
@@ -26,51 +33,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._draw import most_frequent
 from ._store import cut
 from ._text import LOWER, SPACE, blocks, mix, words
 
-#: Classes: 0 is the end of a text, those below SHORT are of words of at most three bytes.
-CLASSES, SHORT, RANK = 512, 192, 32
-NOISE, STEPS, RATE = 10.0, 400, 0.05
+#: Units: 0 is the end of a text, then TOP frequent tokens, then CLASSES classes of endings (a class is 1 to CLASSES).
+TOP, CLASSES = 320, 191
+UNITS = 1 + TOP + CLASSES
+CONTEXT, RANK = 4, 32
+#: Tokens of a minibatch, noise units drawn for it, noise a token that they stand for, steps a task makes at least, and its rate.
+BATCH, NOISE, RATIO, STEPS, RATE = 1024, 128, 20.0, 1000, 0.1
 #: Tokens that reach every task as a table.
 VOCABULARY = 400_000
 #: Distinct tokens a task counts before it passes them on.
 HELD = 1_500_000
-_MASK = np.uint64(CLASSES - 1)
+#: Tokens scored at once.
+ROWS = 4096
+_MASK = np.uint64(255)
 
 
 def keys_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token key with the class in its low bits, text, first token of each text and the end)."""
+    """(token key with the ending's class in its low bits, text, first token of each text and the end)."""
     w = words(raw, at, SPACE)
-    data = LOWER[raw]
-    size = w.end - w.start
-    if not len(size):
+    if not len(w.hash):
         return w.hash, w.doc, w.first
-    tail = data[w.end - 1].astype(np.uint64) + (data[np.maximum(w.end - 2, 0)].astype(np.uint64) << np.uint64(8))
-    long = np.uint64(SHORT) + mix(tail + np.uint64(1)) % np.uint64(CLASSES - SHORT)
-    short = np.uint64(1) + (w.hash >> np.uint64(20)) % np.uint64(SHORT - 1)
-    return (w.hash & ~_MASK) | np.where(size <= 3, short, long), w.doc, w.first
-
-
-def _classes(key: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, class before, class) of every token, ends included; a text begins after an end."""
-    at = np.searchsorted(doc, np.arange(n), "right")
-    now = np.insert((key & _MASK).astype(np.int64), at, 0)
-    whose = np.insert(doc, at, np.arange(n))
-    before = np.concatenate([[0], now[:-1]])
-    return whose, before, now
+    data = LOWER[raw]
+    before = np.where(w.end - w.start > 1, data[np.maximum(w.end - 2, 0)], 0).astype(np.uint64)
+    ending = data[w.end - 1].astype(np.uint64) + (before << np.uint64(8))
+    return (w.hash & ~_MASK) | (np.uint64(1) + mix(ending + np.uint64(1)) % np.uint64(CLASSES)), w.doc, w.first
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: counts of token keys; 1: of class pairs."""
-    pairs = np.zeros(CLASSES * CLASSES, np.int64)
+    """Counts of token keys; key 0 counts texts."""
+    texts = 0
     held_keys: list[np.ndarray] = []
     held_counts: list[np.ndarray] = []
 
-    def rows(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(key), 1 << 18):
-            k = key[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[lo : lo + (1 << 18)])], ["kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 18)].view(np.int64)), pa.array(n[lo : lo + (1 << 18)])], ["key", "c"])
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         k, at = np.unique(np.concatenate(held_keys), return_inverse=True)
@@ -78,66 +79,171 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lo, hi, raw, at in blocks(batch.column(0)):
-            key, doc, _ = keys_of(raw, at)
-            _, before, now = _classes(key, doc, hi - lo)
-            pairs += np.bincount(before * CLASSES + now, minlength=CLASSES * CLASSES)
-            k, n = np.unique(key, return_counts=True)
+            texts += hi - lo
+            k, n = np.unique(keys_of(raw, at)[0], return_counts=True)
             held_keys.append(k)
             held_counts.append(n)
             if sum(map(len, held_keys)) > 2 * HELD:
                 k, n = merged()
                 if len(k) > HELD:
-                    yield from rows(0, k.view(np.int64), n)
+                    yield from rows(k, n)
                     held_keys, held_counts = [], []
                 else:
                     held_keys, held_counts = [k], [n]
     if held_keys:
-        k, n = merged()
-        yield from rows(0, k.view(np.int64), n)
-    cells = np.flatnonzero(pairs)
-    yield from rows(1, cells, pairs[cells])
+        yield from rows(*merged())
+    yield from rows(np.zeros(1, np.uint64), np.array([texts]))
 
 
-def fit_classes(pairs: np.ndarray) -> np.ndarray:
-    """log10 P(class | class before), normalised, from counts of class pairs.
+@dataclass
+class Network:
+    """The parameters, and the most frequent tokens (in order) that are units by themselves."""
+
+    top: np.ndarray
+    context: np.ndarray  # UNITS x RANK
+    target: np.ndarray  # UNITS x RANK
+    position: np.ndarray  # CONTEXT x RANK
+    bias: np.ndarray
+    noise: np.ndarray  # frequencies of units, which sum to 1
+
+    @classmethod
+    def start(cls, top: np.ndarray, counts: np.ndarray) -> Network:
+        rng = np.random.default_rng(4)
+        noise = (counts + 0.5) / (counts + 0.5).sum()
+        vectors = [rng.normal(0, 0.1, (UNITS, RANK)).astype(np.float32) for _ in range(2)]
+        return cls(top, *vectors, np.full((CONTEXT, RANK), 1 / CONTEXT, np.float32), np.log(noise).astype(np.float32), noise)
+
+    def sequence(self, key: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, unit, units before) of every token of n texts, ends included; before a text stand ends."""
+        unit = TOP + (key & _MASK).astype(np.int64)
+        if len(self.top):
+            place = np.minimum(np.searchsorted(self.top, key), len(self.top) - 1)
+            unit = np.where(self.top[place] == key, 1 + place, unit)
+        at = np.searchsorted(doc, np.arange(n), "right")
+        unit, doc = np.insert(unit, at, 0), np.insert(doc, at, np.arange(n))
+        before = np.zeros((len(unit), CONTEXT), np.int32)
+        for j in range(1, min(CONTEXT, len(unit) - 1) + 1):
+            before[j:, j - 1] = np.where(doc[j:] == doc[:-j], unit[:-j], 0)
+        return doc, unit, before
+
+    def predicted(self, before: np.ndarray) -> np.ndarray:
+        out = self.context[before[:, 0]] * self.position[0]
+        for j in range(1, CONTEXT):
+            out += self.context[before[:, j]] * self.position[j]
+        return out
+
+    def log10(self, before: np.ndarray, unit: np.ndarray | None = None) -> np.ndarray:
+        """log10 P(unit | units before), normalised over all units; a column for each if none is named."""
+        columns, ones = np.ascontiguousarray(self.target.T), np.ones(UNITS, np.float32)
+        out = np.zeros(len(before) if unit is not None else (len(before), UNITS))
+        for lo in range(0, len(before), ROWS):
+            s = self.predicted(before[lo : lo + ROWS]) @ columns
+            s += self.bias
+            np.clip(s, -60, 60, out=s)
+            own = s.copy() if unit is None else s[np.arange(len(s)), unit[lo : lo + ROWS]]
+            np.exp(s, out=s)
+            total = np.log(s @ ones)
+            out[lo : lo + ROWS] = own - (total[:, None] if unit is None else total)
+        return out / np.log(10)
+
+
+class Trainer:
+    """Noise-contrastive steps on a network of its own."""
+
+    def __init__(self, start: Network, seed: int):
+        self.net = Network(start.top, *(x.copy() for x in (start.context, start.target, start.position, start.bias)), start.noise)
+        self.rng = np.random.default_rng(seed)
+        self.cumulated = np.cumsum(start.noise)
+        self.log_noise = np.log(RATIO * start.noise).astype(np.float32)
+        self.squares = [np.full_like(x, 1e-6) for x in (start.context, start.target, start.position, start.bias)]
+        self.steps = self.tokens = 0
+
+    def learn(self, unit: np.ndarray, before: np.ndarray) -> None:
+        """Minibatches of all tokens given, in a random order."""
+        order = self.rng.permutation(len(unit))
+        for lo in range(0, len(order), BATCH):
+            some = order[lo : lo + BATCH]
+            self._step(unit[some], before[some])
+        self.tokens += len(order)
+
+    def _move(self, k: int, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """An Adagrad step of the rows that occur, whose gradients are added up."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        rows, gradient = rows[first], np.add.reduceat(gradient[order], first, axis=0)
+        self._adagrad(k, rows, gradient)
+
+    def _adagrad(self, k: int, rows, gradient: np.ndarray) -> None:
+        net = self.net
+        self.squares[k][rows] += gradient**2
+        (net.context, net.target, net.position, net.bias)[k][rows] += RATE * gradient / np.sqrt(self.squares[k][rows])
+
+    def _step(self, unit: np.ndarray, before: np.ndarray) -> None:
+        net, n = self.net, len(unit)
+        drawn = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), UNITS - 1)
+        h, own, other = net.predicted(before), net.target[unit], net.target[drawn]
+        data = np.clip((h * own).sum(axis=1) + net.bias[unit] - self.log_noise[unit], -30, 30)
+        noise = np.clip(h @ other.T + (net.bias[drawn] - self.log_noise[drawn]), -30, 30)
+        up = 1 / (1 + np.exp(data)) / n
+        down = -np.float32(RATIO / NOISE / n) / (1 + np.exp(-noise))
+        back = up[:, None] * own + down @ other
+        by_position = np.stack([(net.context[before[:, j]] * back).sum(axis=0) for j in range(CONTEXT)])
+        by_context = np.concatenate([back * net.position[j] for j in range(CONTEXT)])
+        rows = np.concatenate([unit, drawn])
+        self._move(1, rows, np.concatenate([up[:, None] * h, down.T @ h]))
+        self._move(3, rows, np.concatenate([up, down.sum(axis=0)]))
+        self._move(0, before.T.ravel(), by_context)
+        self._adagrad(2, slice(None), by_position)
+        self.steps += 1
+
+
+def _train(start: Network):
+    """Trains on the texts of a task; rows of (row of the parameters, tokens, values)."""
 
-    Maximises the noise-contrastive objective in expectation: each pair n times
-    against NOISE draws from the class frequencies for each context.
-    """
-    n = pairs.reshape(CLASSES, CLASSES).astype(np.float64)
-    context, freq = n.sum(axis=1), n.sum(axis=0) + 0.5
-    q = freq / freq.sum()
-    rng = np.random.default_rng(4)
-    left, right = rng.normal(0, 0.1, (CLASSES, RANK)), rng.normal(0, 0.1, (CLASSES, RANK))
-    bias, level = np.log(q), np.zeros(CLASSES)
-    weight = 1 / max(1.0, context.sum())
-    params = [left, right, bias, level]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    for step in range(1, STEPS + 1):
-        s = left @ right.T + bias + level[:, None] - np.log(NOISE * q)
-        data = 1 / (1 + np.exp(np.clip(s, -40, 40)))
-        gap = (n * data - NOISE * context[:, None] * q * (1 - data)) * weight
-        grads = [gap @ right - 1e-7 * left, gap.T @ left - 1e-7 * right, gap.sum(axis=0), gap.sum(axis=1)]
-        rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
-        for p, g, (m, v) in zip(params, grads, moments, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
-    s = left @ right.T + bias
-    top = s.max(axis=1, keepdims=True)
-    s -= top + np.log(np.exp(s - top).sum(axis=1, keepdims=True))
-    return s / np.log(10)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, held = Trainer(start, 4), []
+        for batch in batches:
+            for lo, hi, raw, at in blocks(batch.column(0)):
+                key, doc, _ = keys_of(raw, at)
+                _, unit, before = start.sequence(key, doc, hi - lo)
+                trainer.learn(unit, before)
+                if trainer.steps < STEPS:  # few enough to keep
+                    held.append((unit, before))
+        tokens = trainer.tokens
+        while held and trainer.steps < STEPS:
+            for unit, before in held:
+                trainer.learn(unit, before)
+        if tokens:
+            net = trainer.net
+            values = [*np.hstack([net.context, net.target, net.bias[:, None]]), *net.position]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array([tokens] * len(values), pa.int64()), pa.array([v.astype(np.float64) for v in values], pa.list_(pa.float64()))], ["row", "n", "values"])
+
+    return run
+
+
+def fit(texts: DataFrame, start: Network) -> Network:
+    """The average of what all tasks learn from the column ``text``, weighted by their tokens."""
+    rows = texts.select("text").mapInArrow(_train(start), "row int, n long, values array<double>").select("row", "n", F.posexplode("values").alias("i", "v"))
+    mean = rows.groupBy("row", "i").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).toArrow()
+    if not mean.num_rows:
+        return start
+    table = np.zeros((UNITS + CONTEXT, 2 * RANK + 1), np.float32)
+    table[mean["row"].to_numpy(), mean["i"].to_numpy()] = mean["v"].to_numpy()
+    units = table[:UNITS]
+    return Network(start.top, units[:, :RANK].copy(), units[:, RANK:-1].copy(), table[UNITS:, :RANK].copy(), units[:, -1].copy(), start.noise)
 
 
 @dataclass
 class Model:
-    """What scoring needs of the training texts; all but ``counts`` is of fixed size."""
+    """What scoring needs of the training texts; all but ``counts`` is of bounded size."""
 
     counts: DataFrame  # key, c of every training token
     key: np.ndarray  # of common tokens, in order
     c: np.ndarray
-    next: np.ndarray  # log10 P(class | class before)
-    total: np.ndarray  # of each class: tokens, types, discount
+    least: int  # count of the common tokens
+    net: Network
+    total: np.ndarray  # of each class, but for the tokens that are units: tokens, types, discount
     tokens: int  # N, with ends
     types: int  # V, with the end
     texts: int  # ends
@@ -148,39 +254,33 @@ class Model:
         size = np.log10(np.maximum(n, 1))
         return size, discount, np.where(n > 0, np.log10(np.maximum(discount * types, 1e-9)) - size, 0.0)
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
-
 
 def train(texts: DataFrame) -> Model:
     """A model of the column ``text`` of all rows of ``texts``; null is empty."""
-    rows = texts.select("text").mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counted, _ = cut(rows)
-    pairs = np.zeros(CLASSES * CLASSES)
-    cells = counted.where("kind = 1").select("key", "n").toArrow()
-    pairs[cells["key"].to_numpy()] = cells["n"].to_numpy()
-    counts = counted.where("kind = 0").select("key", F.col("n").alias("c"))
+    counted, _ = cut(texts.select("text").mapInArrow(_count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
+    counts = counted.where("key <> 0")
+    ends = counted.where("key = 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    least = most_frequent(counts, "c", VOCABULARY)
+    common = counts.where(F.col("c") >= least).toArrow()
+    key, c = common["key"].to_numpy().view(np.uint64), common["c"].to_numpy()
+    order = np.argsort(key)
+    key, c = key[order], c[order]
+    first = np.sort(np.lexsort((key, -c))[:TOP])
+    is_class = F.col("key").bitwiseAND(F.lit(int(_MASK)))
     one = lambda k: F.count_if(F.col("c") == k)
-    by_class = counts.groupBy(F.col("key").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), one(1).alias("once"), one(2).alias("twice")).collect()
-    total = np.zeros((3, CLASSES))
-    for r in by_class:
-        once, twice = max(r["once"], 0), r["twice"]
-        total[:, r["k"]] = r["n"], r["v"], min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.05))
-    ends = int(pairs.reshape(CLASSES, CLASSES)[:, 0].sum())
-    seen = counts.groupBy(F.floor(F.log2("c") * 16).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
-    least, room = None, VOCABULARY
-    for r in sorted(seen, key=lambda r: -r["b"]):
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["least"]
-    key, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if least is not None:
-        common = counts.where(F.col("c") >= least).toArrow()
-        key, c = common["key"].to_numpy().view(np.uint64), common["c"].to_numpy()
-        order = np.argsort(key)
-        key, c = key[order], c[order]
-    return Model(counts, key, c, fit_classes(pairs).astype(np.float32), total, int(total[0].sum()) + ends, int(total[1].sum()) + (ends > 0), ends)
+    sums = np.zeros((4, CLASSES + 1))
+    for r in counts.groupBy(is_class.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), one(1).alias("once"), one(2).alias("twice")).collect():
+        sums[:, r["k"]] = r["n"], r["v"], r["once"], r["twice"]
+    tokens, types = int(sums[0].sum()) + ends, int(sums[1].sum()) + (ends > 0)
+    mine = (key[first] & _MASK).astype(np.int64)
+    for row, value in zip(sums, (c[first], 1, c[first] == 1, c[first] == 2), strict=True):
+        np.subtract.at(row, mine, value)
+    n, v, once, twice = sums
+    discount = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.05), 0.05, 0.95)
+    units = np.zeros(UNITS)
+    units[0], units[1 : 1 + len(first)], units[1 + TOP :] = ends, c[first], n[1:]
+    net = fit(texts, Network.start(key[first], units))
+    return Model(counts, key, c, least, net, np.stack([n, v, discount]), tokens, types, ends)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -191,7 +291,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     model's. Null texts are empty: one token, the end. Repeated rows are each
     returned. Only doc_id and text are read.
     """
-    key_table, c_table, nexts = model.key, model.c, model.next
+    key_table, c_table, net = model.key, model.c, model.net
     size, discount, unseen = model.inside()
     tokens, types, texts = model.tokens, model.types, model.texts
     scale = float(np.log10(tokens + 0.1 * (types + 1)))
@@ -202,14 +302,16 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi, raw, at in blocks(batch.column(1)):
                 m = hi - lo
                 key, doc, first = keys_of(raw, at)
-                whose, before, now = _classes(key, doc, m)
-                score = np.bincount(whose, nexts[before, now], m)
+                whose, unit, before = net.sequence(key, doc, m)
+                score = np.bincount(whose, net.log10(before, unit), m)
                 place = np.minimum(np.searchsorted(key_table, key), max(0, len(key_table) - 1))
                 known = key_table[place] == key if len(key_table) else np.zeros(len(key), bool)
                 d, c, k = doc[known], c_table[place[known]] if len(key_table) else np.zeros(0), (key[known] & _MASK).astype(np.int64)
                 base = np.bincount(d, np.log10(c + 0.1) - scale, m) + end_base
+                classed = ~np.isin(key[known], net.top)
+                d, c, k = d[classed], c[classed], k[classed]
                 score += np.bincount(d, np.log10(c - discount[k]) - size[k], m)
-                n_known = np.bincount(d, minlength=m) + (texts > 0)
+                n_known = np.bincount(doc[known], minlength=m) + (texts > 0)
                 ids = batch.column(0).slice(lo, m).cast(pa.int64())
                 value = np.array(ids.fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
                 cumulated = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key + np.arange(len(key), dtype=np.uint64)), dtype=np.uint64)])
@@ -242,10 +344,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = "key long, row long, times int, doc_id long, n_tokens long, n_known long, base double, score double"
     parts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, schema)
-    least = int(model.c.min()) if len(model.c) else None
-    counts = model.counts if least is None else model.counts.where(F.col("c") < least)
-    joined = parts.join(counts, "key", "left")
-    k = (F.col("key").bitwiseAND(F.lit(CLASSES - 1)) + 1).cast("int")
+    joined = parts.join(model.counts.where(F.col("c") < model.least), "key", "left")
+    k = (F.col("key").bitwiseAND(F.lit(int(_MASK))) + 1).cast("int")
     look = lambda values: F.element_at(F.lit([float(v) for v in values]), k)
     rare, c = F.col("times"), F.coalesce(F.col("c"), F.lit(0))
     inside = F.when(c > 0, F.log10(c - look(discount)) - look(size)).otherwise(look(unseen))

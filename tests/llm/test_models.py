@@ -91,19 +91,62 @@ def test_lm_base_and_counts(spark, monkeypatch, vocabulary):
         w = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known) == (len(w), sum(c[x] > 0 for x in w))
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (total + 0.1 * (kinds + 1))) for x in w), rel=1e-9)
-        assert r.score < 0
-
-
-def test_lm_is_normalised_and_beats_the_base(spark):
+        assert r.score == pytest.approx(brute_score(model, c, w), rel=1e-4)
+
+
+def brute_score(model, counts, w):
+    """log10 P(w) token by token from the model's parameters and the words' own counts."""
+    net = model.net
+
+    def key_of(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(lm_scoring.keys_of(raw, np.array([0, len(raw)]))[0][0])
+
+    top, keys = {int(k): 1 + i for i, k in enumerate(net.top)}, {x: key_of(x) for x in {*w, *counts} if x is not None}
+    unit = lambda x: 0 if x is None else top.get(keys[x], lm_scoring.TOP + (keys[x] & 255))
+    inside = collections.defaultdict(dict)
+    for x, n in counts.items():
+        if x is not None and keys[x] not in top:
+            inside[unit(x)][x] = n
+    total, before = 0.0, [0] * lm_scoring.CONTEXT
+    for x in w:
+        h = sum(net.context[b] * net.position[j] for j, b in enumerate(before)).astype(float)
+        s = net.target.astype(float) @ h + net.bias
+        total += (s[unit(x)] - math.log(np.exp(s).sum())) / math.log(10)
+        if unit(x) > lm_scoring.TOP and (seen := inside[unit(x)]):
+            once, twice = (sum(n == k for n in seen.values()) for k in (1, 2))
+            less = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.05))
+            total += math.log10((seen[x] - less if x in seen else less * len(seen)) / sum(seen.values()))
+        before = [unit(x), *before[:-1]]
+    return total
+
+
+def test_lm_is_normalised_and_beats_counts(spark):
+    """Probabilities sum to 1, and held-out tokens are likelier than by the unigram base and by smoothed counts of pairs of units."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = lm_scoring.train(docs.where(~lm_scoring.held_out()))
-    assert np.allclose((10.0 ** model.next.astype(float)).sum(axis=1), 1, atol=1e-4)
+    net = model.net
+    before = np.random.default_rng(1).integers(0, lm_scoring.UNITS, (50, lm_scoring.CONTEXT))
+    assert np.allclose((10.0 ** net.log10(before)).sum(axis=1), 1, atol=1e-4)
     n, types, discount = model.total
     size, _, unseen = model.inside()
     # Of each class, seen tokens and its unseen one sum to 1.
     assert np.allclose(((n - discount * types) / 10**size + 10**unseen)[n > 0], 1, atol=1e-6)
     out = lm_scoring.score_texts(docs.where(lm_scoring.held_out()), model).toPandas()
-    assert out.score.sum() > out.base_score.sum() and (out.score > out.base_score).mean() > 0.95
+    assert (out.score > out.base_score).mean() > 0.95
+
+    def units(rows):
+        text = "".join(rows)
+        at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in rows])])
+        key, doc, _ = lm_scoring.keys_of(np.frombuffer(text.encode(), np.uint8), at)
+        return net.sequence(key, doc, len(rows))[1:]
+
+    learned, held = (units([r.text or "" for r in docs.where(x).select("text").collect()]) for x in (~lm_scoring.held_out(), lm_scoring.held_out()))
+    pairs = np.zeros((lm_scoring.UNITS, lm_scoring.UNITS))
+    np.add.at(pairs, (learned[1][:, 0], learned[0]), 1)
+    smoothed = (pairs + 100 * net.noise) / (pairs.sum(axis=1, keepdims=True) + 100)
+    unit, before = held
+    assert net.log10(before, unit).mean() > np.log10(smoothed[before[:, 0], unit]).mean() + 0.02
 
 
 def test_lm_repeated_rows_and_nothing(spark):
@@ -118,12 +161,16 @@ def test_lm_repeated_rows_and_nothing(spark):
 
 def test_nce_finds_the_frequencies_of_pairs():
     rng = np.random.default_rng(1)
-    truth = np.zeros((lm_scoring.CLASSES, lm_scoring.CLASSES))
-    truth[:4, :4] = rng.random((4, 4)) ** 3 + 0.05
-    truth /= truth.sum(axis=1, keepdims=True).clip(1e-9)
-    pairs = np.round(truth * 100_000)
-    p = 10 ** lm_scoring.fit_classes(pairs.ravel())
-    assert np.abs(p[:4, :4] - truth[:4, :4]).max() < 0.03
+    truth = rng.random((4, 4)) ** 3 + 0.05
+    truth /= truth.sum(axis=1, keepdims=True)
+    before = np.zeros((200_000, lm_scoring.CONTEXT), np.int32)
+    before[:, 0] = rng.integers(0, 4, len(before))
+    unit = (truth[before[:, 0]].cumsum(axis=1) < rng.random((len(before), 1))).sum(axis=1).clip(0, 3)
+    trainer = lm_scoring.Trainer(lm_scoring.Network.start(np.zeros(0, np.uint64), np.bincount(unit, minlength=lm_scoring.UNITS).astype(float)), 1)
+    for _ in range(12):
+        trainer.learn(unit, before)
+    p = 10 ** trainer.net.log10(before[[int((before[:, 0] == k).argmax()) for k in range(4)]])
+    assert np.abs(p[:, :4] - truth).max() < 0.03
 
 
 # Toxicity
