@@ -60,7 +60,7 @@ def device_type(ua: Column) -> Column:
 
 def is_bot(ua: Column) -> Column:
     """Whether a user agent is a bot's; a missing one is."""
-    tokens = "|".join(re.escape(t).replace("/", "/") for t in BOT_TOKENS)
+    tokens = "|".join(re.escape(t) for t in BOT_TOKENS)
     return F.coalesce(ua == "", F.lit(True)) | F.lower(F.coalesce(ua, F.lit(""))).rlike(tokens)
 
 

@@ -144,7 +144,7 @@ def big(expr: str) -> str:
 
 ORACLES = {
     "canonical": sql(f"SELECT event_id, anonymous_id, user_id, event_name, CASE WHEN path = '' THEN '' ELSE 'https://example.com' || path END AS url, path, referrer, utm_source, utm_medium, utm_campaign, device_type, os, browser, country, ms AS timestamp, received AS received_at, CASE WHEN plan IS NOT NULL THEN 'plan=' || plan WHEN kind IS NOT NULL THEN 'kind=' || kind ELSE '' END AS properties, {big('(seats IS NOT NULL)::INT + (value IS NOT NULL)::INT + (k IS NOT NULL)::INT')} AS n_numbers FROM ev"),
-    "dedup_events": sql(f"SELECT event_name, {N} AS events, {big('sum(ms % 100003)')} AS checksum FROM {dedup(f'ms >= {day(3)}')} GROUP BY 1"),
+    "dedup_events": sql(f"SELECT event_name, {N} AS events, {big('sum(ms % 100003)')} AS checksum FROM {dedup('true')} GROUP BY 1"),
     "duplicates": sql("SELECT event_id, count(*) AS copies FROM ev GROUP BY 1 HAVING count(*) > 1"),
     "storage_dedup": sql(f"SELECT event_name, {N} AS events, max(received) + 3600000 AS latest FROM ev GROUP BY 1"),
     "identity_tiles": sql("SELECT anonymous_id, person AS person_id, f * 1000 AS valid_from, t * 1000 AS valid_to FROM tl"),
@@ -197,8 +197,9 @@ ORACLES = {
     "ingest_outcomes": sql("SELECT outcome, count(*) AS n FROM rq GROUP BY 1", REQUESTS),
     "ingest_events": sql(f"""SELECT event_name, CASE WHEN e % 7 = 1 THEN 'tablet' ELSE 'desktop' END AS device_type, CASE WHEN e % 7 = 1 THEN 'ios' ELSE 'windows' END AS os, CASE WHEN e % 7 = 1 THEN 'safari' ELSE 'edge' END AS browser,
       count(*) AS n, {big('sum(ms % 100003)')} AS checksum, {big('sum((seats IS NOT NULL)::INT + (value IS NOT NULL)::INT + (k IS NOT NULL)::INT)')} AS numbers FROM rq WHERE outcome = 'accepted' GROUP BY ALL""", REQUESTS),
-    "ingest_counters": sql("""SELECT '2024-01' AS month, least(count(*) FILTER (outcome = 'accepted'), 500) AS accepted, count(*) FILTER (outcome = 'rejected') AS rejected, CAST(0 AS BIGINT) AS throttled,
-      greatest(count(*) FILTER (outcome = 'accepted') - 500, 0) AS over_quota, count(*) FILTER (outcome = 'bot') AS bot FROM rq""", REQUESTS),
+    "ingest_counters": sql("""SELECT CAST(1 + e % 3 AS BIGINT) AS project_id, strftime(make_timestamp(ms * 1000) + CASE WHEN e % 4 = 0 THEN INTERVAL 31 DAY ELSE INTERVAL 0 DAY END, '%Y-%m') AS month,
+      least(count(*) FILTER (outcome = 'accepted'), CASE WHEN e % 3 = 0 THEN 300 ELSE 100 END) AS accepted, count(*) FILTER (outcome = 'rejected') AS rejected, CAST(0 AS BIGINT) AS throttled,
+      greatest(count(*) FILTER (outcome = 'accepted') - CASE WHEN e % 3 = 0 THEN 300 ELSE 100 END, 0) AS over_quota, count(*) FILTER (outcome = 'bot') AS bot FROM rq WHERE e % 3 < 2 GROUP BY e % 3, 2""", REQUESTS),
     "ingest_rejections": sql("SELECT ms AS received_at, 'validation_failed' AS reason, problem AS detail FROM rq WHERE outcome = 'rejected' ORDER BY ms DESC LIMIT 40 OFFSET 20", REQUESTS),
     "purge_person": sql(f"""SELECT 'events' AS "table", count(*) AS rows FROM ev q WHERE NOT {owned("'user-10'")}
       UNION ALL SELECT 'device_index', count(*) FROM dx WHERE NOT {GONE} UNION ALL SELECT 'person_traits', count(*) FROM tr WHERE NOT {GONE}

@@ -18,6 +18,7 @@ from .plans.ast import parse_funnel, parse_node
 from .schema import CONTEXT_FIELDS, LATEST_FIELDS, PROJECTS, SUPPRESSED, Tables
 from .sources import demo, ingest
 from .sources.fixtures import NOW, load
+from .sources.shared import stored
 
 MID = datetime(2024, 1, 16, tzinfo=UTC)
 
@@ -67,7 +68,7 @@ def canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_events(spark: SparkSession, d: str) -> DataFrame:
-    kept = dedup.first_by_event_id(_t(spark, d).events.where("timestamp >= TIMESTAMP '2024-01-03 00:00:00'"))
+    kept = dedup.first_by_event_id(_t(spark, d).events)
     return kept.groupBy("event_name").agg(F.count("*").alias("events"), F.sum(ms("timestamp") % 100_003).alias("checksum"))
 
 
@@ -296,8 +297,8 @@ def person_export_traits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    """Events as raw requests; some are bots, some lack ids or are too long."""
-    t = _t(spark, d).events
+    """Events as raw requests, dealt to several tasks; some are bots, some lack ids or are too long."""
+    t = _t(spark, d).events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
     e = F.substring("event_id", -6, 6).cast("long")
     body = F.to_json(F.struct(
         F.lit("track").alias("type"), F.col("event_id").alias("message_id"), F.when(e % 13 != 0, F.col("anonymous_id")).alias("anonymous_id"),
@@ -309,23 +310,26 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.ingest(_requests(spark, d)).rows.groupBy("outcome").agg(F.count("*").alias("n"))
+    return ingest.ingest(_requests(spark, d), keep=stored).rows.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def ingest_events(spark: SparkSession, d: str) -> DataFrame:
-    rows = ingest.ingest(_requests(spark, d)).events
+    rows = ingest.ingest(_requests(spark, d), keep=stored).events
     return rows.groupBy("event_name", "device_type", "os", "browser").agg(F.count("*").alias("n"), F.sum(ms("timestamp") % 100_003).alias("checksum"), F.sum(F.size("properties_num")).alias("numbers"))
 
 
 def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by month under a monthly quota."""
-    projects = spark.createDataFrame([(1, "one", 13, 500, "active")], PROJECTS)
-    counted = ingest.counters(ingest.ingest(_requests(spark, d), projects).rows)
-    return counted.select(F.date_format("month", "yyyy-MM").alias("month"), *ingest.OUTCOMES)
+    """Counts of two projects by month under monthly quotas, of requests to two months; a third project takes none."""
+    projects = spark.createDataFrame([(1, "one", 13, 300, "active"), (2, "two", 13, 100, "active"), (3, "three", 13, None, "archived")], PROJECTS)
+    e = F.substring(F.get_json_object("body", "$.message_id"), -6, 6).cast("long")
+    later = F.when(e % 4 == 0, F.col("received_at") + F.expr("INTERVAL 31 DAYS")).otherwise(F.col("received_at"))
+    raw = _requests(spark, d).withColumns({"project_id": 1 + e % 3, "received_at": later})
+    counted = ingest.counters(ingest.ingest(raw, projects, keep=stored).rows)
+    return counted.select("project_id", F.date_format("month", "yyyy-MM").alias("month"), *ingest.OUTCOMES)
 
 
 def ingest_rejections(spark: SparkSession, d: str) -> DataFrame:
-    dead = ingest.ingest(_requests(spark, d)).dead_letter
+    dead = ingest.ingest(_requests(spark, d), keep=stored).dead_letter
     return events.rejections(dead, 1, reason="validation_failed", limit=40, offset=20).select(ms("received_at").alias("received_at"), "reason", "detail")
 
 

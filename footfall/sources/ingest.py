@@ -7,7 +7,8 @@ rejected, bot, throttled, over_quota or accepted, decided in this order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -136,7 +137,7 @@ def _admit(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def limited(parsed: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``parsed`` with ``limit``: what throttles a valid event, or null.
+    """``parsed`` with ``limit``: what throttles a valid event, or null; and ``names_full``: when its project had MAX_NAMES names, or null.
 
     too_many_properties; event_name_cardinality: the names of a project in
     order of their first arrival, those stored before first;
@@ -154,17 +155,20 @@ def limited(parsed: DataFrame, known: DataFrame | None = None) -> DataFrame:
         old = known.groupBy("project_id", "event_name").agg(F.array_sort(F.array_remove(F.collect_set("property_key"), "")).alias("keyset"))
         sets = sets.unionByName(old.select("project_id", "event_name", "keyset", before))
     first = sets.groupBy("project_id", "event_name").agg(F.min("at").alias("at"))
+    # A rank with a limit: each task passes on at most MAX_NAMES names of a project.
     place = F.row_number().over(Window.partitionBy("project_id").orderBy("at", "event_name"))
-    names = first.withColumn("name_place", place).where(F.col("name_place") > MAX_NAMES).select("project_id", "event_name", "name_place")
+    names = first.withColumn("name_place", place).where(F.col("name_place") <= MAX_NAMES)
+    full = names.where(F.col("name_place") == MAX_NAMES).select("project_id", F.col("at").alias("names_full"))
+    names = names.select("project_id", "event_name", "name_place")
     keys = sets.select("project_id", "event_name", F.explode("keyset").alias("key")).distinct()
     crowded = keys.groupBy("project_id", "event_name").agg(F.count("*").alias("n")).where(F.col("n") > MAX_KEYS).select("project_id", "event_name")
     open_ = sets.join(crowded, ["project_id", "event_name"], "left_semi").select("project_id", "event_name", "keyset", "at.received_at", "at.event_id")
     late = open_.groupBy("project_id", "event_name").applyInPandas(_admit, "project_id long, event_name string, keyset array<string>").withColumn("late", F.lit(True))
-    rows = parsed.withColumn("keyset", F.array_sort("keys")).join(names, ["project_id", "event_name"], "left").join(late, ["project_id", "event_name", "keyset"], "left")
+    rows = parsed.withColumn("keyset", F.array_sort("keys")).join(names, ["project_id", "event_name"], "left").join(full, "project_id", "left").join(late, ["project_id", "event_name", "keyset"], "left")
     limit = (
         F.when(F.col("problem").isNotNull() | F.col("bot"), F.lit(None))
         .when(F.col("n_properties") > MAX_PROPERTIES, "too_many_properties")
-        .when(F.col("name_place").isNotNull(), "event_name_cardinality")
+        .when(F.col("name_place").isNull(), "event_name_cardinality")
         .when(F.col("late"), "property_key_cardinality")
     )
     return rows.withColumn("limit", limit).drop("name_place", "late", "keyset")
@@ -172,42 +176,90 @@ def limited(parsed: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ingested:
-    """What became of requests: all rows with ``outcome``, new events, rejected ones, and bindings."""
+    """What became of requests: all rows with ``outcome``, new events, rejected ones, bindings, and requests to projects that take none."""
 
     rows: DataFrame
     events: DataFrame
     dead_letter: DataFrame
     bindings: DataFrame
+    refused: DataFrame | None = field(default=None)
 
 
-def ingest(raw: DataFrame, projects: DataFrame | None = None, persisted: DataFrame | None = None, known: DataFrame | None = None) -> Ingested:
+def _decide(parsed: DataFrame, persisted: DataFrame | None, known: DataFrame | None) -> DataFrame:
+    """``parsed`` requests of one month with ``outcome``; a column monthly_event_quota bounds what is accepted."""
+    rows = limited(parsed, known)
+    outcome = F.when(F.col("problem").isNotNull(), "rejected").when(F.col("bot"), "bot").when(F.col("limit").isNotNull(), "throttled").otherwise("accepted")
+    rows = rows.withColumn("outcome", outcome)
+    if "monthly_event_quota" not in parsed.columns:
+        return rows.drop("names_full")
+    bound = (F.col("outcome") == "accepted") & F.col("monthly_event_quota").isNotNull()
+    ranked = _rank(rows.where(bound), ["project_id"], "_place")
+    if persisted is not None:
+        ranked = ranked.join(persisted.groupBy("project_id").agg(F.sum("accepted").alias("_had")), "project_id", "left")
+    had = F.coalesce("_had", F.lit(0)) if persisted is not None else F.lit(0)
+    over = had + F.col("_place") - 1 >= F.col("monthly_event_quota")
+    ranked = ranked.withColumn("outcome", F.when(over, "over_quota").otherwise("accepted")).drop("_place", "_had")
+    # Only accepted events are observed: a name that first arrives after the last of them takes no place,
+    # so where the places weren't full by then, events beyond them are over the quota instead.
+    at = F.struct("received_at", "event_id")
+    last = F.coalesce(F.max(F.when(F.col("outcome") == "accepted", at)), F.struct(F.timestamp_millis(F.lit(0)).alias("received_at"), F.lit("").alias("event_id")))
+    reached = ranked.groupBy("project_id").agg(last.alias("_last"), F.count_if(F.col("outcome") == "over_quota").alias("_over")).where("_over > 0").select("project_id", "_last")
+    rest = rows.where(~bound).join(reached, "project_id", "left")
+    late = F.coalesce((F.col("limit") == "event_name_cardinality") & (F.col("names_full") > F.col("_last")), F.lit(False))
+    rest = rest.withColumn("outcome", F.when(late, "over_quota").otherwise(F.col("outcome"))).withColumn("limit", F.when(~late, F.col("limit"))).drop("_last")
+    return rest.unionByName(ranked).drop("monthly_event_quota", "names_full")
+
+
+def ingest(raw: DataFrame, projects: DataFrame | None = None, persisted: DataFrame | None = None, known: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
     """Decides every request of ``raw``.
 
     ``projects`` (project_id, monthly_event_quota, state) bounds what a project
-    may store in a month beyond ``persisted`` (project_id, accepted); a null
-    quota is no bound, and projects that aren't active take nothing. ``known``
-    is the event schema observed before, which limits of names and keys count.
+    may store in a month (of receipt) beyond ``persisted`` (project_id,
+    accepted, and month if there are several); a null quota is no bound.
+    Requests to projects that aren't active, or are none, become ``refused``
+    (project_id, received_at, reason). ``known`` is the event schema observed
+    before, which limits of names and keys count; names are observed of
+    accepted events only, months in their order. ``keep`` stores what it is
+    given and returns it again: the parsed requests, which are read several
+    times.
     """
-    rows = limited(parse(raw), known)
-    outcome = F.when(F.col("problem").isNotNull(), "rejected").when(F.col("bot"), "bot").when(F.col("limit").isNotNull(), "throttled").otherwise("accepted")
-    rows = rows.withColumn("outcome", outcome)
-    if projects is not None:
-        active = projects.where("coalesce(state, 'active') = 'active'").select("project_id", "monthly_event_quota")
-        rows = rows.join(active, "project_id")
-        bound = (F.col("outcome") == "accepted") & F.col("monthly_event_quota").isNotNull()
-        ranked = _rank(rows.where(bound), ["project_id"], "_place")
-        if persisted is not None:
-            ranked = ranked.join(persisted.select("project_id", F.col("accepted").alias("_had")), "project_id", "left")
-        had = F.coalesce("_had", F.lit(0)) if persisted is not None else F.lit(0)
-        ranked = ranked.withColumn("outcome", F.when(had + F.col("_place") - 1 >= F.col("monthly_event_quota"), "over_quota").otherwise("accepted")).drop("_place", "_had")
-        rows = rows.where(~bound).unionByName(ranked).drop("monthly_event_quota")
+    parsed, refused = parse(raw), None
+    if keep is not None:
+        parsed = keep(parsed)
+    if projects is None:
+        rows = _decide(parsed, None, known)
+    else:
+        states = projects.select("project_id", "monthly_event_quota", F.coalesce("state", F.lit("active")).alias("_state"))
+        parsed = parsed.join(states, "project_id", "left")
+        active = F.coalesce(F.col("_state") == "active", F.lit(False))
+        reason = F.when(F.col("_state") == "deleting", "project_deleted").when(F.col("_state") == "archived", "project_archived").otherwise("unknown_project")
+        refused = parsed.where(~active).select("project_id", "received_at", reason.alias("reason"))
+        parsed = parsed.where(active).drop("_state")
+        month = F.trunc("received_at", "month")
+        months = [r[0] for r in parsed.select(month.alias("m")).distinct().orderBy("m").collect()]  # as many as requests wait for
+        rows = None
+        for m in months or [None]:
+            mine = month.eqNullSafe(F.lit(m).cast("date"))
+            had = persisted.where(F.col("month").eqNullSafe(F.lit(m).cast("date"))) if persisted is not None and "month" in persisted.columns else persisted
+            some = _decide(parsed.where(mine) if len(months) > 1 else parsed, had, known)
+            if m != (months or [None])[-1]:
+                some = keep(some) if keep is not None else some
+                new = some.where("outcome = 'accepted'").select("project_id", "event_name", F.explode_outer("keys").alias("property_key")).distinct()
+                new = new.withColumn("property_key", F.coalesce("property_key", F.lit("")))
+                known = new if known is None else known.select(*new.columns).unionByName(new)
+            rows = some if rows is None else rows.unionByName(some)
+    return outputs(rows, refused)
+
+
+def outputs(rows: DataFrame, refused: DataFrame | None = None) -> Ingested:
+    """What decided requests become."""
     accepted = rows.where("outcome = 'accepted'")
     reason = F.coalesce("limit", F.lit("validation_failed"))
     detail = F.coalesce("problem", F.concat_ws(" ", F.lit("beyond a limit:"), "limit", "event_name"))
     dead = rows.where("outcome IN ('rejected', 'throttled')").select("project_id", "received_at", reason.alias("reason"), F.substring(detail, 1, DETAIL).alias("detail"), F.substring("body", 1, PAYLOAD).alias("payload"))
     named = accepted.where("kind = 'identify' AND anonymous_id <> ''")
     bindings = named.select("project_id", "anonymous_id", F.col("user_id").alias("person_id"), F.col("timestamp").alias("bound_at"))
-    return Ingested(rows, accepted.select(*EVENTS.names), dead.select(*DEAD_LETTER.names), bindings)
+    return Ingested(rows, accepted.select(*EVENTS.names), dead.select(*DEAD_LETTER.names), bindings, refused)
 
 
 def counters(rows: DataFrame) -> DataFrame:

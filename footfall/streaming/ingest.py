@@ -8,6 +8,8 @@ failure replaces its own parts, which are kept by batch id.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.time import month
 from ..operators import rollups
 from ..schema import DEAD_LETTER, EVENTS
-from ..sources.ingest import RAW, counters, ingest, merge_counters, unbatch
+from ..sources.ingest import RAW, counters, ingest, merge_counters, outputs, unbatch
 from ..sources.store import Store
 
 PARTS = ("device_index", "person_traits", "event_schema", "bindings", "counters")
@@ -25,15 +27,22 @@ def write_batch(store: Store, projects: DataFrame | None = None):
     """A foreachBatch function that ingests one micro-batch of raw requests."""
 
     def run(raw: DataFrame, batch_id: int) -> None:
-        raw = raw.persist()
+        spark = raw.sparkSession
+        known, counted = (earlier(store, name, batch_id) for name in ("event_schema", "counters"))
+        persisted = None if counted is None else counted.groupBy("project_id", "month").agg(F.sum("accepted").alias("accepted"))
+        staging = store.path(f"staging/batch={batch_id}")
+        store.delete(staging)
+        stored = count()
+
+        def keep(rows: DataFrame) -> DataFrame:
+            at = f"{staging}/{next(stored)}"
+            rows.write.parquet(at)
+            return spark.read.schema(rows.schema).parquet(at)
+
         try:
-            spark = raw.sparkSession
-            known, counted = (earlier(store, name, batch_id) for name in ("event_schema", "counters"))
-            persisted = None
-            if counted is not None:
-                now = raw.agg(F.max("received_at")).first()[0]
-                persisted = counted.where(F.col("month") == F.trunc(F.lit(now), "month")).groupBy("project_id").agg(F.sum("accepted").alias("accepted"))
-            done = ingest(unbatch(raw), projects, persisted, known)
+            # Requests are parsed once and decided once; what follows reads stored rows.
+            done = ingest(unbatch(raw), projects, persisted, known, keep)
+            done = outputs(keep(done.rows), done.refused)
             # One folder a batch: a retry of the batch overwrites what its first run left.
             events_at = f"{store.path('incoming')}/batch={batch_id}"
             done.events.withColumn("month", month(F.col("timestamp"))).write.mode("overwrite").partitionBy("project_id", "month").parquet(events_at)
@@ -46,7 +55,7 @@ def write_batch(store: Store, projects: DataFrame | None = None):
             for name, rows in parts.items():
                 rows.write.mode("overwrite").parquet(f"{store.path(f'parts/{name}')}/batch={batch_id}")
         finally:
-            raw.unpersist()
+            store.delete(staging)
 
     return run
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footfall.functions import enrich
 from footfall.schema import PROJECTS
 from footfall.sources import ingest
+from footfall.sources.shared import stored
 
 AGENT = "Mozilla/5.0 (Windows NT 10.0) Chrome/120.0"
 
@@ -23,7 +24,7 @@ def send(spark):
         for n, b in enumerate(bodies):
             own, body = (b if isinstance(b, tuple) else (agent, b))
             rows.append((1, datetime(2026, 8, 1, 12) + timedelta(seconds=n), own, body if isinstance(body, str) else json.dumps({"message_id": uuid(n), "type": "track", "event": "x", "anonymous_id": "d", **body})))
-        return ingest.ingest(ingest.unbatch(spark.createDataFrame(rows, ingest.RAW)), **more)
+        return ingest.ingest(ingest.unbatch(spark.createDataFrame(rows, ingest.RAW)), **({"keep": stored} | more))
 
     return run
 
@@ -99,6 +100,28 @@ def test_quota_counters_and_usage(spark, send):
     assert send({}, projects=archived).rows.count() == 0
 
 
+def test_a_quota_holds_for_each_month_and_project(spark):
+    rows = [(p, datetime(2026, 1 + m, 31 if m == 0 else 1, 12, n), AGENT, json.dumps({"message_id": uuid(100 * p + 10 * m + n), "type": "track", "event": "x", "anonymous_id": "d"})) for p in (1, 2, 3, 4, 5) for m in (0, 1) for n in range(5)]
+    projects = spark.createDataFrame([(1, "a", 13, 5, "active"), (2, "b", 13, 3, "active"), (3, "c", 13, None, "archived"), (4, "d", 13, None, "deleting")], PROJECTS)
+    had = spark.createDataFrame([(2, datetime(2026, 2, 1).date(), 2)], "project_id long, month date, accepted long")
+    done = ingest.ingest(spark.createDataFrame(rows, ingest.RAW), projects, had, keep=stored)
+    got = {(r.project_id, r.month.month): (r.accepted, r.over_quota) for r in ingest.counters(done.rows).collect()}
+    assert got == {(1, 1): (5, 0), (1, 2): (5, 0), (2, 1): (3, 2), (2, 2): (1, 4)}
+    assert sorted({(r.project_id, r.reason) for r in done.refused.collect()}) == [(3, "project_archived"), (4, "project_deleted"), (5, "unknown_project")] and done.refused.count() == 30
+
+
+def test_only_accepted_events_take_a_name_s_place(spark, send, monkeypatch):
+    monkeypatch.setattr(ingest, "MAX_NAMES", 10)
+    names = [{"event": f"e{i:03d}"} for i in range(30)]
+    project = lambda quota: spark.createDataFrame([(1, "one", 13, quota, "active")], PROJECTS)
+    assert outcomes(send(*names, projects=project(5))) == ["accepted"] * 5 + ["over_quota"] * 25
+    assert outcomes(send(*names, projects=project(20))) == ["accepted"] * 10 + ["throttled"] * 20
+    again = [*names, *[{"event": "e000"}] * 3, {"event": "new"}]
+    assert outcomes(send(*again, projects=project(12))) == ["accepted"] * 10 + ["throttled"] * 20 + ["accepted"] * 2 + ["over_quota", "throttled"]
+    done = send(*names, projects=project(5))
+    assert done.dead_letter.count() == 0 and done.rows.where("limit IS NOT NULL").count() == 0
+
+
 def test_empty_input(spark):
     done = ingest.ingest(spark.createDataFrame([], ingest.RAW))
     assert done.events.count() == done.dead_letter.count() == done.bindings.count() == 0
