@@ -48,7 +48,7 @@ VOCABULARY = 400_000
 #: Distinct tokens a task counts before it passes them on.
 HELD = 1_500_000
 #: Tokens scored at once.
-ROWS = 4096
+ROWS = 512
 _MASK = np.uint64(255)
 
 
@@ -166,14 +166,6 @@ class Trainer:
             self._step(unit[some], before[some])
         self.tokens += len(order)
 
-    def _move(self, k: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """An Adagrad step of the rows that occur, whose gradients are added up."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        rows, gradient = rows[first], np.add.reduceat(gradient[order], first, axis=0)
-        self._adagrad(k, rows, gradient)
-
     def _adagrad(self, k: int, rows, gradient: np.ndarray) -> None:
         net = self.net
         self.squares[k][rows] += gradient**2
@@ -182,22 +174,39 @@ class Trainer:
     def _step(self, unit: np.ndarray, before: np.ndarray) -> None:
         net, n = self.net, len(unit)
         drawn = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), UNITS - 1)
-        h, own, other = net.predicted(before), net.target[unit], net.target[drawn]
-        data = np.clip((h * own).sum(axis=1) + net.bias[unit] - self.log_noise[unit], -30, 30)
-        noise = np.clip(h @ other.T + (net.bias[drawn] - self.log_noise[drawn]), -30, 30)
-        up = 1 / (1 + np.exp(data)) / n
-        down = -np.float32(RATIO / NOISE / n) / (1 + np.exp(-noise))
+        seen = [net.context[before[:, j]] for j in range(CONTEXT)]
+        h = sum(e * p for e, p in zip(seen, net.position, strict=True))
+        own, other = net.target[unit], net.target[drawn]
+        data = np.einsum("ij,ij->i", h, own) + (net.bias - self.log_noise)[unit]
+        noise = h @ other.T + (net.bias - self.log_noise)[drawn]
+        up = 1 / (1 + np.exp(np.clip(data, -30, 30))) / n
+        down = -np.float32(RATIO / NOISE / n) / (1 + np.exp(-np.clip(noise, -30, 30)))
         back = up[:, None] * own + down @ other
-        by_position = np.stack([(net.context[before[:, j]] * back).sum(axis=0) for j in range(CONTEXT)])
-        by_context = np.concatenate([back * net.position[j] for j in range(CONTEXT)])
-        rows = np.concatenate([unit, drawn])
-        self._move(1, rows, np.concatenate([up[:, None] * h, down.T @ h]))
-        self._move(3, rows, np.concatenate([up, down.sum(axis=0)]))
-        self._move(0, before.T.ravel(), by_context)
+        # Gradients of one unit are added up in order of units; 16 bits, so that the sort is by digits.
+        order, rows, first = _groups(np.concatenate([unit, drawn]))
+        gradient = np.empty((n + NOISE, RANK + 1), np.float32)
+        gradient[:n, :-1], gradient[n:, :-1] = up[:, None] * h, down.T @ h
+        gradient[:n, -1], gradient[n:, -1] = up, down.sum(axis=0)
+        gradient = np.add.reduceat(gradient[order], first, axis=0)
+        by_position = np.stack([np.einsum("ij,ij->j", e, back) for e in seen])
+        place, units, starts = _groups(before.T.ravel())
+        by_context = back[place % n]
+        by_context *= net.position[place // n]
+        self._adagrad(1, rows, gradient[:, :-1])
+        self._adagrad(3, rows, gradient[:, -1])
+        self._adagrad(0, units, np.add.reduceat(by_context, starts, axis=0))
         self._adagrad(2, slice(None), by_position)
         self.steps += 1
 
 
+def _groups(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by unit, the units that occur, where each begins in that order)."""
+    order = np.argsort(unit.astype(np.int16), kind="stable")
+    unit = unit[order]
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    return order, unit[first], first
+
+
 def _train(start: Network):
     """Trains on the texts of a task; rows of (row of the parameters, tokens, values)."""
 
@@ -308,7 +317,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 known = key_table[place] == key if len(key_table) else np.zeros(len(key), bool)
                 d, c, k = doc[known], c_table[place[known]] if len(key_table) else np.zeros(0), (key[known] & _MASK).astype(np.int64)
                 base = np.bincount(d, np.log10(c + 0.1) - scale, m) + end_base
-                classed = ~np.isin(key[known], net.top)
+                classed = (unit[np.delete(np.arange(len(unit)), first[1:] + np.arange(m))] > TOP)[known]
                 d, c, k = d[classed], c[classed], k[classed]
                 score += np.bincount(d, np.log10(c - discount[k]) - size[k], m)
                 n_known = np.bincount(doc[known], minlength=m) + (texts > 0)
