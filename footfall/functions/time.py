@@ -53,13 +53,10 @@ def retention_boundary(now: datetime, months: int) -> datetime:
     return datetime(count // 12, count % 12 + 1, 1, tzinfo=UTC)
 
 
-_ZONE = re.compile(r"T.*(?:Z|[+-]\d{2}:?\d{2})$", re.IGNORECASE)
-
-
 def parse_bound(value: str) -> datetime:
     """A lifecycle bound: a date is its UTC midnight, a time without a zone is UTC."""
     at = datetime.fromisoformat(value)
-    return at.astimezone(UTC) if _ZONE.search(value) else at.replace(tzinfo=UTC)
+    return at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
 
 
 def parse_since(value: str, now: datetime) -> datetime:
