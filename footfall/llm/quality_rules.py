@@ -102,11 +102,11 @@ def _drawn(n: Column, own: Column, wider: Column) -> Column:
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source and each measure's threshold ``<measure>_max``, from sketches of all documents with words."""
     some = measured.where("n_words > 0")
-    one = F.lit(1).alias("one")
-    group = some.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in MEASURES])
+    group, _ = cut(some.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in MEASURES]))
     wider = group.groupBy("lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, SKETCH_K).alias(m) for m in MEASURES])
-    every = wider.groupBy(one).agg(*[_raw(F.kll_merge_agg_double(m, SKETCH_K)).alias(m) for m in MEASURES])
-    wide = wider.withColumn("one", one).alias("w").join(every.alias("a"), "one").select("w.lang", *[_drawn(F.col("w.n"), _raw(F.col(f"w.{m}")), F.col(f"a.{m}")).alias(m) for m in MEASURES])
+    # One value, so a scalar subquery and no join.
+    every = wider.agg(F.struct(*[_raw(F.kll_merge_agg_double(m, SKETCH_K)).alias(m) for m in MEASURES])).scalar()
+    wide = wider.withColumn("a", every).select("lang", *[_drawn(F.col("n"), _raw(F.col(m)), F.col(f"a.{m}")).alias(m) for m in MEASURES])
     both = group.alias("g").join(wide.alias("w"), F.col("g.lang").eqNullSafe(F.col("w.lang")))
     return both.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *[_drawn(F.col("g.n"), _raw(F.col(f"g.{m}")), F.col(f"w.{m}")).alias(f"{m}_max") for m in MEASURES])
 
