@@ -15,7 +15,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,34 +111,36 @@ class Decoder:
         p, spelled = self.p, bool(_SPELLED.fullmatch(span))
         doubles = [m.start() for m in _DOUBLE.finditer(span)]
         # A path's text is linked backwards: (the text before, what was put after it), None if empty.
-        paths: dict[tuple[int, int, str], tuple[float, int, tuple | None]] = {(0, 0, ""): (0.0, 0, None)}
+        # Its state: the codes of the last two letters, the last sign, and the text's size up to 3.
+        paths: dict[tuple[int, int, str, int], tuple[float, tuple | None]] = {(0, 0, "", 0): (0.0, None)}
         for i, c in enumerate(span):
             many = len(doubles) > 2 and bisect_right(doubles, i + NEAR) - bisect_left(doubles, i - NEAR) > 2
             drop = REPEAT if c * 3 in span[max(0, i - 2) : i + 3] else DOUBLE if many else KEEP
-            nexts: dict[tuple[int, int, str], tuple[float, int, tuple | None]] = {}
+            nexts: dict[tuple[int, int, str, int], tuple[float, tuple | None]] = {}
 
-            def put(key, cost, size, text, more="", nexts=nexts):
+            def put(a, b, last, size, cost, text, more="", nexts=nexts):
+                key = (a, b, last, min(size + len(more), 3))
                 if key not in nexts or nexts[key][0] < cost:
-                    nexts[key] = (cost, size + len(more), (text, more) if more else text)
+                    nexts[key] = (cost, (text, more) if more else text)
 
             options = [(c, 0.0)] if c.isalpha() else []
             options += [(o, SIGN) for o in LEET.get(c, "")]
-            for (a, b, last), (cost, size, text) in paths.items():
+            for (a, b, last, size), (cost, text) in paths.items():
                 if c in JOINTS:
-                    put((a, b, ""), cost + JOINT, size, text)
+                    put(a, b, "", size, cost + JOINT, text)
                     continue
                 if not options:
-                    put((0, 0, ""), cost + p[a][b][0], size, text, c if c.isdigit() else " ")
+                    put(0, 0, "", size, cost + p[a][b][0], text, c if c.isdigit() else " ")
                     continue
                 for o, extra in options:
                     if last == o and not spelled:
-                        put((a, b, o), cost + drop, size, text)
+                        put(a, b, o, size, cost + drop, text)
                     k = _code(o)
-                    put((b, k, o), cost + extra + p[a][b][k], size, text, o)
+                    put(b, k, o, size, cost + extra + p[a][b][k], text, o)
                     if spelled and b and size > 2:
-                        put((0, k, o), cost + extra + BREAK + p[a][b][0] + p[0][0][k], size, text, " " + o)
-            paths = dict(sorted(nexts.items(), key=lambda x: -x[1][0])[:24])
-        text = max(paths.items(), key=lambda x: x[1][0] + p[x[0][0]][x[0][1]][0])[1][2]
+                        put(0, k, o, size, cost + extra + BREAK + p[a][b][0] + p[0][0][k], text, " " + o)
+            paths = nexts
+        text = max(paths.items(), key=lambda x: x[1][0] + p[x[0][0]][x[0][1]][0])[1][1]
         parts = []
         while text:
             text, more = text
@@ -242,7 +244,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-@cache
+@lru_cache(1)
 def _weight_table(ids: bytes, weights: bytes) -> np.ndarray:
     table = np.zeros(1 << FEATURE_BITS, np.float32)
     table[np.frombuffer(ids, np.uint64)] = np.frombuffer(weights, np.float64)

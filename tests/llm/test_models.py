@@ -198,6 +198,48 @@ def test_disguises_are_undone(toxic_model, disguise):
     assert "idiot" in {decoder.read(s) for _, s in toxicity.disguised(raw, np.array([0, len(raw)]))}
 
 
+def readings(decoder, span):
+    """The greatest log10 probability of each text that some path through the lattice of ``span`` gives."""
+    p, spelled = decoder.p, bool(toxicity._SPELLED.fullmatch(span))
+    doubles = toxicity._DOUBLE.findall(span)
+    code = toxicity._code
+    every = [(0.0, "", (0, 0), "")]
+    for i, c in enumerate(span):
+        drop = toxicity.REPEAT if any(span[j : j + 3] == c * 3 for j in range(max(0, i - 2), i + 1)) else toxicity.DOUBLE if len(doubles) > 2 else toxicity.KEEP
+        signs = ([(c, 0.0)] if c.isalpha() else []) + [(o, toxicity.SIGN) for o in toxicity.LEET.get(c, "")]
+        more = []
+        for cost, text, (a, b), last in every:
+            if c in toxicity.JOINTS:
+                more.append((cost + toxicity.JOINT, text, (a, b), ""))
+            elif not signs:
+                more.append((cost + p[a][b][0], text + (c if c.isdigit() else " "), (0, 0), ""))
+            for o, extra in signs if c not in toxicity.JOINTS else []:
+                more.append((cost + extra + p[a][b][code(o)], text + o, (b, code(o)), o))
+                if last == o and not spelled:
+                    more.append((cost + drop, text, (a, b), o))
+                if spelled and b and len(text) > 2:
+                    more.append((cost + extra + toxicity.BREAK + p[a][b][0] + p[0][0][code(o)], text + " " + o, (0, code(o)), o))
+        every = more
+    best = {}
+    for cost, text, (a, b), _ in every:
+        best[text] = max(best.get(text, -math.inf), cost + p[a][b][0])
+    return best
+
+
+def test_readings_are_the_best_of_all_paths():
+    """Against every path of short lattices, under letter models in which many paths are close."""
+    rng = random.Random(8)
+    for k in range(400):
+        letters = np.random.default_rng(k).dirichlet(np.full(toxicity._ALPHABET, 0.3), (toxicity._ALPHABET, toxicity._ALPHABET))
+        decoder = toxicity.Decoder(np.log10(letters + 1e-6))
+        if k % 2:
+            span = " ".join(rng.choice("ilaos1|!04@$") for _ in range(rng.randrange(3, 9)))
+        else:
+            span = "".join(rng.choice(["1", "!", "|", "il", "lll", "oo", "0", "a", "é", "-", "2", "%"]) for _ in range(rng.randrange(1, 8)))
+        every = readings(decoder, span)
+        assert every[decoder.read(span)] == pytest.approx(max(every.values()), abs=1e-9), span
+
+
 @pytest.mark.parametrize("gap", [" ", "  "])
 def test_long_spelled_spans_are_read_whole(toxic_model, gap):
     plain = ["the", "of", "and"] * 40
