@@ -32,7 +32,8 @@ class Project:
 
     @property
     def schema(self) -> DataFrame:
-        return rollups.event_schema(self.tables.events)
+        stored = self.tables.event_schema
+        return stored if stored is not None else rollups.event_schema(self.tables.events)
 
     # Segments
 
@@ -110,7 +111,8 @@ class Project:
         return catalog.properties(self.schema, self.tables.project_id, event, prefix, limit)
 
     def trait_values(self, trait: str, prefix: str = "", limit: int = catalog.DEFAULT) -> DataFrame:
-        return catalog.trait_values(rollups.person_traits(self.tables.events), self.tables.project_id, trait, prefix, limit)
+        stored = self.tables.person_traits
+        return catalog.trait_values(stored if stored is not None else rollups.person_traits(self.tables.events), self.tables.project_id, trait, prefix, limit)
 
     # Persons
 

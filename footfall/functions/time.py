@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_SKEW = timedelta(hours=24)
@@ -45,6 +45,24 @@ def month(column: Column) -> Column:
     return F.date_format(column, "yyyyMM").cast("int")
 
 
+def month_of(at: datetime) -> int:
+    """The month of an instant of Python, as ``month`` gives it of a column."""
+    at = at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
+    return at.year * 100 + at.month
+
+
+def within(rows: DataFrame, since: datetime | None, until: datetime | None, closed: bool = False) -> DataFrame:
+    """Rows from ``since`` on and before ``until`` (``closed``: and at it); a column month is bounded too, which prunes partitions."""
+    monthly = "month" in rows.columns
+    if since is not None:
+        rows = rows.where(F.col("timestamp") >= instant(since))
+        rows = rows.where(F.col("month") >= month_of(since)) if monthly else rows
+    if until is not None:
+        rows = rows.where(F.col("timestamp") <= instant(until) if closed else F.col("timestamp") < instant(until))
+        rows = rows.where(F.col("month") <= month_of(until)) if monthly else rows
+    return rows
+
+
 def retention_boundary(now: datetime, months: int) -> datetime:
     """The first instant kept: the start of the current month less ``months``."""
     if not 1 <= months <= 120:

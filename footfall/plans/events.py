@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import math
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,10 @@ def _limit(n: int, most: int) -> int:
     return n
 
 
+def _utc(at: datetime) -> datetime:
+    return at.replace(tzinfo=UTC) if at.tzinfo is None else at
+
+
 def feed(t: Tables, since: datetime | None = None, until: datetime | None = None, event: str | None = None, person: Scope | None = None, cursor: Cursor | None = None, limit: int = FEED_DEFAULT) -> DataFrame:
     """A page of events, oldest first.
 
@@ -55,13 +59,10 @@ def feed(t: Tables, since: datetime | None = None, until: datetime | None = None
     hours; after a cursor the next ones. Filters come before the removal of
     copies, suppression after it.
     """
-    rows = t.events.where(F.col("project_id") == t.project_id)
     if since is None and cursor is None:
         since = t.now - timedelta(hours=24)
-    if since is not None:
-        rows = rows.where(F.col("timestamp") >= instant(since))
-    if until is not None:
-        rows = rows.where(F.col("timestamp") <= instant(until))
+    starts = [x for x in (since, cursor and cursor[0]) if x is not None]
+    rows = t.between(max(starts, key=_utc), until, closed=True)
     if event is not None:
         rows = rows.where(F.col("event_name") == event)
     if person is not None:
@@ -82,7 +83,7 @@ def stats(t: Tables, interval: str, since: datetime | None = None, until: dateti
     since = until - DEFAULT_WINDOWS[interval] if since is None else since
     if math.ceil((until - since).total_seconds() / BUCKETS[interval][1]) > MAX_BUCKETS:
         raise ValueError(f"at most {MAX_BUCKETS} buckets")
-    rows = t.events.where((F.col("project_id") == t.project_id) & (F.col("timestamp") >= instant(since)) & (F.col("timestamp") <= instant(until)))
+    rows = t.between(since, until, closed=True)
     rows = rows.select("project_id", "event_id", "timestamp", "received_at", "event_name", "anonymous_id", "user_id")
     keys = [bucket(F.col("timestamp"), interval).alias("bucket"), *(["event_name"] if by_event else [])]
     # Copies are gone, so a plain count is one of distinct events.

@@ -47,7 +47,7 @@ def levels(t: Tables, funnel: Funnel, span: Range, segment: Node | None = None,
     window = timedelta(seconds=funnel.window_seconds)
     end = min(span.until + window, t.now)
     names = sorted({s.event for s in funnel.steps})
-    events = t.events.where((F.col("project_id") == t.project_id) & (F.col("timestamp") >= instant(span.since)) & (F.col("timestamp") < instant(end)))
+    events = t.between(span.since, end)
     if "*" not in names:
         events = events.where(F.col("event_name").isin(names))
     rows = segments.resolved_events(t, events)

@@ -131,6 +131,7 @@ def export_events(t: Tables, s: Scope) -> DataFrame:
 
 def export_traits(t: Tables, s: Scope, stored: DataFrame | None = None) -> DataFrame:
     """trait_key, value_str, value_num, has_num: the last value of each key over all the person's raw identities."""
+    stored = t.person_traits if stored is None else stored
     rows = stored if stored is not None else person_traits(t.events)
     mine = F.col("user_id").isin(list(s.group)) | ((F.col("user_id") == "") & F.col("anonymous_id").isin(list(s.devices)))
     value = F.struct("updated_at", "event_id", "has_num", "value_str", "value_num")

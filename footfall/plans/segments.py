@@ -25,8 +25,10 @@ def base(t: Tables, index: DataFrame | None = None) -> DataFrame:
     """One row for each person: first_seen, last_seen, and contexts of the first and the latest month.
 
     Each month of a device goes to who it belonged to at that month's last
-    event. ``index`` is a stored device index; without one it is computed.
+    event. ``index`` is a stored device index, by default that of the tables;
+    without one it is computed.
     """
+    index = t.device_index if index is None else index
     rows = index if index is not None else device_index(t.events)
     rows = rows.where(F.col("project_id") == t.project_id)
     people = resolve(rows, t.bindings, t.aliases, "last_seen")
@@ -39,6 +41,7 @@ def base(t: Tables, index: DataFrame | None = None) -> DataFrame:
 
 def traits(t: Tables, stored: DataFrame | None = None) -> DataFrame:
     """person_id, traits, traits_num: of each key the last value over all identities of a person."""
+    stored = t.person_traits if stored is None else stored
     rows = stored if stored is not None else person_traits(t.events)
     rows = rows.where(F.col("project_id") == t.project_id).withColumn("_now", instant(t.now))
     people = resolve(rows, t.bindings, t.aliases, "_now")
@@ -58,9 +61,7 @@ def resolved_events(t: Tables, events: DataFrame) -> DataFrame:
 def behavior_pass(t: Tables, nodes: list[Behavior]) -> tuple[DataFrame, dict[Behavior, str]]:
     """person_id and b0, b1, ...: all behaviours of a tree in one scan and one aggregation."""
     starts = [P.window_start(b.window, t.now) for b in nodes]
-    events = t.events.where(F.col("project_id") == t.project_id)
-    if all(s is not None for s in starts):
-        events = events.where(F.col("timestamp") >= instant(min(starts)))
+    events = t.between(min(starts) if all(s is not None for s in starts) else None)
     alias = {b: f"b{i}" for i, b in enumerate(nodes)}
     people = resolved_events(t, events).groupBy("person_id")
     return people.agg(*[P.behavior_value(b, t.now).alias(a) for b, a in alias.items()]), alias

@@ -10,8 +10,11 @@ from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.time import within
+
 # The columns of an event that describe its context.
 CONTEXT_FIELDS = ("country", "region", "city", "device_type", "os", "browser", "referrer", "utm_source", "utm_medium", "utm_campaign")
 EVENT_COLUMN_FIELDS = (*CONTEXT_FIELDS, "path", "url", "utm_term", "utm_content")
@@ -44,7 +47,12 @@ PROJECTS = _struct(project_id=_L, slug=_S, retention_months=T.IntegerType(), mon
 
 @dataclass(frozen=True)
 class Tables:
-    """What a query reads: facts, the identity tables, and the instant it is asked at."""
+    """What a query reads: facts, the identity tables, and the instant it is asked at.
+
+    Stored rollups are read where they are given, and computed from all events
+    where they aren't. ``monthly`` is the events with the column month that
+    they are stored by; with it, bounds of time prune partitions.
+    """
 
     events: DataFrame
     bindings: DataFrame
@@ -52,9 +60,20 @@ class Tables:
     suppressed: DataFrame
     now: datetime
     project_id: int = 1
+    device_index: DataFrame | None = None
+    person_traits: DataFrame | None = None
+    event_schema: DataFrame | None = None
+    monthly: DataFrame | None = None
 
     def at(self, **changes) -> Tables:
-        return replace(self, **changes)
+        """Other tables in their place; what is stored of events goes with them."""
+        derived = ("device_index", "person_traits", "event_schema", "monthly")
+        return replace(self, **(dict.fromkeys(derived) if "events" in changes else {}) | changes)
+
+    def between(self, since: datetime | None = None, until: datetime | None = None, closed: bool = False) -> DataFrame:
+        """The project's events from ``since`` on and before ``until`` (``closed``: and at it)."""
+        rows = self.events if self.monthly is None else self.monthly
+        return within(rows.where(F.col("project_id") == self.project_id), since, until, closed).select(*self.events.columns)
 
     @property
     def spark(self) -> SparkSession:

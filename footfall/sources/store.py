@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.time import instant, month
-from ..schema import DEAD_LETTER, EVENTS
+from ..functions.time import month, within
+from ..schema import ALIASES, BINDINGS, DEAD_LETTER, EVENTS, SUPPRESSED, Tables
 
 #: Rows of a month's file before another is begun, so that no task writes without end.
 FILE_ROWS = 5_000_000
@@ -35,15 +35,21 @@ class Store:
 
     def events(self, project_id: int | None = None, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
         """Events; a project and bounds of time prune partitions, then row groups."""
-        schema = T.StructType([*EVENTS.fields, T.StructField("month", T.IntegerType())])
-        rows = self.spark.read.schema(schema).parquet(self.path("events"))
+        rows = self.monthly()
         if project_id is not None:
             rows = rows.where(F.col("project_id") == project_id)
-        if since is not None:
-            rows = rows.where((F.col("month") >= since.year * 100 + since.month) & (F.col("timestamp") >= instant(since)))
-        if until is not None:
-            rows = rows.where((F.col("month") <= until.year * 100 + until.month) & (F.col("timestamp") < instant(until)))
-        return rows.select(*EVENTS.names)
+        return within(rows, since, until).select(*EVENTS.names)
+
+    def monthly(self, table: str = "events") -> DataFrame:
+        """Events with the column month that they are stored by."""
+        schema = T.StructType([*EVENTS.fields, T.StructField("month", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path(table))
+
+    def tables(self, now: datetime, project_id: int = 1, table: str = "events", **stored: DataFrame) -> Tables:
+        """What queries read: stored events and side tables; ``stored`` are rollups, or tables in place of the side tables."""
+        rows, side = self.monthly(table), {"bindings": BINDINGS, "aliases": ALIASES, "suppressed": SUPPRESSED}
+        found = {name: self.read(name, schema) for name, schema in side.items() if name not in stored}
+        return Tables(rows.select(*EVENTS.names), **(found | stored), now=now, project_id=project_id, monthly=rows)
 
     def append_dead_letter(self, rows: DataFrame) -> None:
         rows.select(*DEAD_LETTER.names, month(F.col("received_at")).alias("month")).write.mode("append").partitionBy("month").parquet(self.path("dead_letter"))

@@ -8,6 +8,7 @@ failure replaces its own parts, which are kept by batch id.
 
 from __future__ import annotations
 
+from datetime import datetime
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.time import month
-from ..operators import rollups
-from ..schema import DEAD_LETTER, EVENTS
+from ..operators import identity, rollups
+from ..schema import DEAD_LETTER, EVENTS, Tables
 from ..sources.ingest import RAW, counters, ingest, merge_counters, outputs, unbatch
 from ..sources.store import Store
 
@@ -69,7 +70,13 @@ def earlier(store: Store, name: str, batch_id: int) -> DataFrame | None:
 
 def events(store: Store) -> DataFrame:
     """All events that batches have written."""
-    return store.spark.read.option("recursiveFileLookup", "false").option("basePath", store.path("incoming")).parquet(store.path("incoming")).select(*EVENTS.names)
+    return store.monthly("incoming").select(*EVENTS.names)
+
+
+def tables(store: Store, now: datetime, project_id: int = 1) -> Tables:
+    """What queries read of a store that batches have written: its events by month, its bindings and its rollups."""
+    rolled = {name: part(store, name) for name in ("device_index", "person_traits", "event_schema")}
+    return store.tables(now, project_id, "incoming", bindings=identity.bind(part(store, "bindings")), **rolled)
 
 
 def dead_letter(store: Store) -> DataFrame:
@@ -112,7 +119,6 @@ def live_counts(events: DataFrame, watermark: str = "48 hours") -> DataFrame:
     return marked.groupBy("project_id", F.window("timestamp", "1 minute").alias("w"), "event_name").agg(F.count("*").alias("events")).select("project_id", F.col("w.start").alias("bucket"), "event_name", "events")
 
 
-def tail(spark: SparkSession, store: Store) -> DataFrame:
-    """Stored events as a stream, for following them as they come."""
-    schema = EVENTS
-    return spark.readStream.schema(schema).option("recursiveFileLookup", "false").parquet(store.path("events"))
+def tail(spark: SparkSession, store: Store, table: str = "events") -> DataFrame:
+    """Stored events as a stream, for following them as they come; those of batches are the table ``incoming``."""
+    return spark.readStream.schema(EVENTS).option("recursiveFileLookup", "false").parquet(store.path(table))

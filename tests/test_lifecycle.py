@@ -1,11 +1,13 @@
-from datetime import UTC, datetime
+import re
+from datetime import UTC, datetime, timedelta, timezone
 
 import pytest
 from conftest import at
 
 from footfall.functions.time import parse_bound, parse_since, retention_boundary
 from footfall.operators import rollups
-from footfall.plans import lifecycle
+from footfall.plans import events, funnels, lifecycle
+from footfall.plans.ast import parse_funnel
 from footfall.schema import PROJECTS
 from footfall.sources.store import Store
 
@@ -25,6 +27,18 @@ def test_store_prunes_and_drops_months(spark, make, tmp_path):
     plan = store.events(1, at("03-01 00:00"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(project_id" in plan and "month" in plan.split("PartitionFilters")[1].split("]")[0]
     projects = spark.createDataFrame([(1, "one", 3, None, "active")], PROJECTS)
+    t = store.tables(at("08-20 00:00"))
+    span = funnels.resolve_range(t.now, since=at("06-01 00:00"), until=at("07-02 00:00"))
+    funnel = parse_funnel({"steps": [{"event": "x"}, {"event": "x"}], "window_seconds": 3600})
+    for rows in (events.feed(t, since=at("07-01 00:00")), events.stats(t, "1d"), funnels.levels(t, funnel, span)):
+        read = re.findall(r"PartitionFilters: \[([^\]]*)", rows._jdf.queryExecution().executedPlan().toString())
+        assert read and all("month" in x and "project_id" in x for x in read), read
+    assert store.tables(at("08-20 00:00")).between(at("07-01 00:00")).count() == 2
+    zone = timezone(timedelta(hours=2))
+    late = Store(spark, str(tmp_path / "zone"))
+    late.append_events(make.events(make.event("x", "07-31 23:00", "d")))
+    assert late.events(1, datetime(2026, 8, 1, 0, 30, tzinfo=zone)).count() == 1
+    assert late.events(1, None, datetime(2026, 7, 31, 20, tzinfo=timezone(-timedelta(hours=5)))).count() == 1
     expired = lifecycle.expired_months(store.events(), projects, at("08-20 00:00"))
     assert sorted(r.month for r in expired.collect()) == [202601, 202602, 202603, 202604]
     assert store.drop_months(expired) == 4

@@ -36,6 +36,33 @@ def test_a_stream_equals_a_batch(spark, requests, tmp_path):
     assert key(stream.part(store, "counters")) == key(ingest.counters(done.rows))
 
 
+def test_queries_read_what_a_stream_wrote(spark, requests, tmp_path):
+    """With stored rollups and months, answers are those computed from all events; a project follows the same table."""
+    from footfall.api import Project
+    from footfall.plans import events, segments
+    from footfall.plans.ast import parse_segment
+    from footfall.schema import tables
+
+    store, now = Store(spark, str(tmp_path / "out")), at("08-28 12:00")
+    stream.start(spark, requests, store, str(tmp_path / "check"), files=1).awaitTermination()
+    t, done = stream.tables(store, now), ingest.ingest(ingest.read_requests(spark, requests))
+    plain = tables(spark, done.events, now, done.bindings)
+    tree = {"kind": "group", "op": "and", "children": [{"kind": "behavior", "event": "*", "aggregate": "count", "window": {"kind": "last", "n": 20, "unit": "days"}, "operator": ">=", "value": 2}, {"kind": "trait", "key": "t", "operator": ">=", "value": 1}]}
+    node = parse_segment({"ast_version": 1, "filter": tree})
+    want = segments.members(plain, node).collect()
+    assert segments.members(t, node).collect() == want and len(want) > 1
+    one, other = Project(t), Project(plain)
+    assert one.schema_events().collect() == other.schema_events().collect() != []
+    assert one.schema_properties().collect() == other.schema_properties().collect() != []
+    assert events.feed(t, since=at("08-01 00:00"), limit=500).count() == events.feed(plain, since=at("08-01 00:00"), limit=500).count() > 0
+    assert t.at(events=done.events).device_index is None
+    for rows in (one.schema_events(), one.trait_values("t"), segments.base(t)):
+        assert not any("/incoming/" in f for f in rows.inputFiles())
+    query = stream.tail(spark, store, "incoming").writeStream.format("memory").queryName("followed").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.sql("SELECT count(*) FROM followed").first()[0] == done.events.count()
+
+
 def test_a_batch_run_again_replaces_its_own_parts(spark, requests, tmp_path):
     store = Store(spark, str(tmp_path / "out"))
     raw, run = ingest.read_requests(spark, requests), stream.write_batch(store)
