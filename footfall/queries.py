@@ -296,10 +296,15 @@ def person_export_traits(spark: SparkSession, d: str) -> DataFrame:
     return person.export_traits(t, person.scope(t, "user-9")).select("trait_key", "value_str", "value_num", F.col("has_num").cast("long").alias("has_num"))
 
 
+def _number(event_id: Column) -> Column:
+    """The number in a fixture's event id: all of its last group."""
+    return F.substring_index(event_id, "-", -1).cast("long")
+
+
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     """Events as raw requests, dealt to several tasks; some are bots, some lack ids or are too long."""
     t = _t(spark, d).events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
-    e = F.substring("event_id", -6, 6).cast("long")
+    e = _number(F.col("event_id"))
     body = F.to_json(F.struct(
         F.lit("track").alias("type"), F.col("event_id").alias("message_id"), F.when(e % 13 != 0, F.col("anonymous_id")).alias("anonymous_id"),
         F.when(F.col("user_id") != "", F.col("user_id")).alias("user_id"), F.when(e % 17 == 0, F.lpad("event_name", 129, "x")).otherwise(F.col("event_name")).alias("event"),
