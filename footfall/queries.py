@@ -326,7 +326,7 @@ def ingest_events(spark: SparkSession, d: str) -> DataFrame:
 def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
     """Counts of two projects by month under monthly quotas, of requests to two months; a third project takes none."""
     projects = spark.createDataFrame([(1, "one", 13, 300, "active"), (2, "two", 13, 100, "active"), (3, "three", 13, None, "archived")], PROJECTS)
-    e = F.substring(F.get_json_object("body", "$.message_id"), -6, 6).cast("long")
+    e = _number(F.get_json_object("body", "$.message_id"))
     later = F.when(e % 4 == 0, F.col("received_at") + F.expr("INTERVAL 31 DAYS")).otherwise(F.col("received_at"))
     raw = _requests(spark, d).withColumns({"project_id": 1 + e % 3, "received_at": later})
     counted = ingest.counters(ingest.ingest(raw, projects, keep=stored).rows)

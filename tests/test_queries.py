@@ -20,7 +20,7 @@ def folder(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["ingest_outcomes", "ingest_events", "ingest_rejections"])
+@pytest.mark.parametrize("name", ["ingest_outcomes", "ingest_events", "ingest_counters", "ingest_rejections"])
 def test_requests_of_ids_of_more_than_six_digits(spark, folder, name):
     with duckdb.connect() as c:
         c.execute("SET TimeZone = 'UTC'")
