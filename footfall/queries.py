@@ -17,7 +17,7 @@ from .plans import catalog, events, funnels, lifecycle, person, segments
 from .plans.ast import parse_funnel, parse_node
 from .schema import CONTEXT_FIELDS, LATEST_FIELDS, PROJECTS, SUPPRESSED, Tables
 from .sources import demo, ingest
-from .sources.fixtures import NOW, load
+from .sources.fixtures import NOW, canonical_events, load
 from .sources.shared import stored
 
 MID = datetime(2024, 1, 16, tzinfo=UTC)
@@ -296,22 +296,17 @@ def person_export_traits(spark: SparkSession, d: str) -> DataFrame:
     return person.export_traits(t, person.scope(t, "user-9")).select("trait_key", "value_str", "value_num", F.col("has_num").cast("long").alias("has_num"))
 
 
-def _number(event_id: Column) -> Column:
-    """The number in a fixture's event id: all of its last group."""
-    return F.substring_index(event_id, "-", -1).cast("long")
-
-
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    """Events as raw requests, dealt to several tasks; some are bots, some lack ids or are too long."""
-    t = _t(spark, d).events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
-    e = _number(F.col("event_id"))
+    """Events as raw requests with their numbers, dealt to several tasks; some are bots, some lack ids or are too long."""
+    t = canonical_events(spark, d, "number").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "number")
+    e = F.col("number")
     body = F.to_json(F.struct(
         F.lit("track").alias("type"), F.col("event_id").alias("message_id"), F.when(e % 13 != 0, F.col("anonymous_id")).alias("anonymous_id"),
         F.when(F.col("user_id") != "", F.col("user_id")).alias("user_id"), F.when(e % 17 == 0, F.lpad("event_name", 129, "x")).otherwise(F.col("event_name")).alias("event"),
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.col("properties_num").alias("properties"),
     ))
     agent = F.when(e % 7 == 0, "Mozilla/5.0 (compatible; Somebot/2.1)").when(e % 7 == 1, "Mozilla/5.0 (iPad; CPU OS 17) Safari/604.1").otherwise("Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Edg/120.0")
-    return t.select("project_id", F.col("timestamp").alias("received_at"), agent.alias("user_agent"), body.alias("body"))
+    return t.select("project_id", F.col("timestamp").alias("received_at"), agent.alias("user_agent"), body.alias("body"), "number")
 
 
 def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -326,7 +321,7 @@ def ingest_events(spark: SparkSession, d: str) -> DataFrame:
 def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
     """Counts of two projects by month under monthly quotas, of requests to two months; a third project takes none."""
     projects = spark.createDataFrame([(1, "one", 13, 300, "active"), (2, "two", 13, 100, "active"), (3, "three", 13, None, "archived")], PROJECTS)
-    e = _number(F.get_json_object("body", "$.message_id"))
+    e = F.col("number")
     later = F.when(e % 4 == 0, F.col("received_at") + F.expr("INTERVAL 31 DAYS")).otherwise(F.col("received_at"))
     raw = _requests(spark, d).withColumns({"project_id": 1 + e % 3, "received_at": later})
     counted = ingest.counters(ingest.ingest(raw, projects, keep=stored).rows)

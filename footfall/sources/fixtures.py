@@ -18,8 +18,11 @@ def _pick(i: Column, *values: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
 
 
-def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every column of an event, by arithmetic on ids; every 97th event is delivered again 7 seconds later."""
+def canonical_events(spark: SparkSession, sf_dir: str, number: str | None = None) -> DataFrame:
+    """Every column of an event, by arithmetic on ids; every 97th event is delivered again 7 seconds later.
+
+    An event's id holds twelve digits of its number; ``number`` names a column for the whole of it.
+    """
     e, u = F.col("event_id"), F.col("user_id")
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k").cast("long")
@@ -51,14 +54,14 @@ def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(e % 3, "chrome", "firefox", "safari").alias("browser"),
         _pick(e % 5, "US", "DE", "FR", "JP", "").alias("country"),
         F.lit("").alias("region"), F.lit("").alias("city"),
-        (e % 97 == 0).alias("_again"),
+        (e % 97 == 0).alias("_again"), *([e.alias(number)] if number else []),
     )
     # One row or two by a generator: the scan isn't read twice.
     copies = F.explode(F.when(F.col("_again"), F.array(F.lit(0), F.lit(7000))).otherwise(F.array(F.lit(0))))
     rows = rows.withColumn("_later", copies)
     for c in ("timestamp", "received_at"):
         rows = rows.withColumn(c, F.timestamp_millis(F.unix_millis(c) + F.col("_later")))
-    return rows.select(*EVENTS.names)
+    return rows.select(*EVENTS.names, *([number] if number else []))
 
 
 def bindings_of(events: DataFrame) -> DataFrame:

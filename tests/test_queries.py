@@ -28,3 +28,17 @@ def test_requests_of_ids_of_more_than_six_digits(spark, folder, name):
         want = c.execute(ORACLES[name]).fetchall()
     got = QUERIES[name](spark, folder).collect()
     assert len(got) > 2 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("name", ["ingest_outcomes", "ingest_events", "ingest_counters", "ingest_rejections"])
+def test_requests_of_numbers_of_more_than_twelve_digits(spark, tmp_path, name):
+    """An event's id holds twelve digits, the number is whole."""
+    ids = [*range(999_999_999_900, 1_000_000_000_150), *range(59_000_000_000_000, 59_000_000_000_250)]
+    rows = [(e, datetime(2024, 1, 2) + timedelta(minutes=n), 1 + e % 40, ("view", "click", "signup", "purchase", "error")[e % 5], n / 4, f'{{"k": {e % 90}}}') for n, e in enumerate(ids)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as c:
+        c.execute("SET TimeZone = 'UTC'")
+        c.execute(f"CREATE VIEW events AS SELECT * EXCLUDE (ts), CAST(ts AS TIMESTAMP) AS ts FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = c.execute(ORACLES[name]).fetchall()
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(got) > 2 and sorted(map(tuple, got)) == sorted(map(tuple, want))
