@@ -47,8 +47,8 @@ BATCH, NOISE, RATIO, STEPS, RATE = 1024, 128, 20.0, 1000, 0.1
 VOCABULARY = 400_000
 #: Distinct tokens a task counts before it passes them on.
 HELD = 1_500_000
-#: Tokens scored at once.
-ROWS = 512
+#: Tokens scored at once, by products of scores and by tables of their exponentials.
+ROWS, FACTORED = 512, 256
 _MASK = np.uint64(255)
 
 
@@ -134,6 +134,8 @@ class Network:
 
     def log10(self, before: np.ndarray, unit: np.ndarray | None = None) -> np.ndarray:
         """log10 P(unit | units before), normalised over all units; a column for each if none is named."""
+        if unit is not None and len(before) >= UNITS:
+            return self._log10_by_factors(before, unit)
         columns, ones = np.ascontiguousarray(self.target.T), np.ones(UNITS, np.float32)
         out = np.zeros(len(before) if unit is not None else (len(before), UNITS))
         for lo in range(0, len(before), ROWS):
@@ -146,6 +148,37 @@ class Network:
             out[lo : lo + ROWS] = own - (total[:, None] if unit is None else total)
         return out / np.log(10)
 
+    def _log10_by_factors(self, before: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """The same from a table for each position: a score is a sum over positions, so its exponential is a product.
+
+        A table holds the exponentials of every unit's part of all scores, each
+        row by its greatest. Where the rows' peaks lie so far apart that the
+        products leave 32 bits, the scores are computed as they are.
+        """
+        parts = [(self.context * p) @ self.target.T for p in self.position]
+        parts[0] += self.bias
+        most = [x.max(axis=1) for x in parts]
+        tables = [np.exp(x - m[:, None]) for x, m in zip(parts, most, strict=True)]
+        total = np.empty(len(before), np.float32)
+        whole, one = (np.empty((FACTORED, UNITS), np.float32) for _ in range(2))
+        for lo in range(0, len(before), FACTORED):
+            some = before[lo : lo + FACTORED]
+            a, b = whole[: len(some)], one[: len(some)]
+            np.take(tables[0], some[:, 0], axis=0, out=a, mode="clip")
+            for j in range(1, CONTEXT):
+                np.take(tables[j], some[:, j], axis=0, out=b, mode="clip")
+                if j < CONTEXT - 1:
+                    a *= b
+            np.einsum("ij,ij->i", a, b, out=total[lo : lo + len(some)])
+        far = np.flatnonzero(total < 1e-25)
+        total[far] = 1
+        out = sum(x[before[:, j], unit] - m[before[:, j]] for j, (x, m) in enumerate(zip(parts, most, strict=True))).astype(np.float64)
+        out = (out - np.log(total)) / np.log(10)
+        for lo in range(0, len(far), UNITS - 1):
+            some = far[lo : lo + UNITS - 1]
+            out[some] = self.log10(before[some], unit[some])
+        return out
+
 
 class Trainer:
     """Noise-contrastive steps on a network of its own."""
@@ -168,37 +201,52 @@ class Trainer:
 
     def _adagrad(self, k: int, rows, gradient: np.ndarray) -> None:
         net = self.net
-        self.squares[k][rows] += gradient**2
-        (net.context, net.target, net.position, net.bias)[k][rows] += RATE * gradient / np.sqrt(self.squares[k][rows])
+        squares = self.squares[k][rows] + gradient**2
+        self.squares[k][rows] = squares
+        (net.context, net.target, net.position, net.bias)[k][rows] += RATE * gradient / np.sqrt(squares)
 
     def _step(self, unit: np.ndarray, before: np.ndarray) -> None:
         net, n = self.net, len(unit)
         drawn = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), UNITS - 1)
-        seen = [net.context[before[:, j]] for j in range(CONTEXT)]
-        h = sum(e * p for e, p in zip(seen, net.position, strict=True))
-        own, other = net.target[unit], net.target[drawn]
+        seen = [net.context.take(before[:, j], axis=0) for j in range(CONTEXT)]
+        h = seen[0] * net.position[0]
+        for e, p in zip(seen[1:], net.position[1:], strict=True):
+            h += e * p
+        own, other = net.target.take(unit, axis=0), net.target.take(drawn, axis=0)
         data = np.einsum("ij,ij->i", h, own) + (net.bias - self.log_noise)[unit]
-        noise = h @ other.T + (net.bias - self.log_noise)[drawn]
+        noise = h @ other.T
+        noise += (net.bias - self.log_noise)[drawn]
         up = 1 / (1 + np.exp(np.clip(data, -30, 30))) / n
-        down = -np.float32(RATIO / NOISE / n) / (1 + np.exp(-np.clip(noise, -30, 30)))
-        back = up[:, None] * own + down @ other
+        # In place, as these are the largest arrays of a step.
+        np.negative(np.clip(noise, -30, 30, out=noise), out=noise)
+        np.exp(noise, out=noise)
+        noise += 1
+        down = np.divide(-np.float32(RATIO / NOISE / n), noise, out=noise)
+        back = down @ other
+        own *= up[:, None]
+        back += own
         # Gradients of one unit are added up in order of units; 16 bits, so that the sort is by digits.
         order, rows, first = _groups(np.concatenate([unit, drawn]))
-        gradient = np.empty((n + NOISE, RANK + 1), np.float32)
-        gradient[:n, :-1], gradient[n:, :-1] = up[:, None] * h, down.T @ h
-        gradient[:n, -1], gradient[n:, -1] = up, down.sum(axis=0)
-        gradient = np.add.reduceat(gradient[order], first, axis=0)
+        gradient = np.zeros((n + NOISE, RANK + 2), np.float32)
+        np.multiply(up[:, None], h, out=gradient[:n, :RANK])
+        gradient[n:, :RANK] = down.T @ h
+        gradient[:n, RANK], gradient[n:, RANK] = up, down.sum(axis=0)
+        gradient = _sums(gradient.take(order, axis=0), first)
         by_position = np.stack([np.einsum("ij,ij->j", e, back) for e in seen])
         place, units, starts = _groups(before.T.ravel())
-        by_context = back[place % n]
-        by_context *= net.position[place // n]
-        self._adagrad(1, rows, gradient[:, :-1])
-        self._adagrad(3, rows, gradient[:, -1])
-        self._adagrad(0, units, np.add.reduceat(by_context, starts, axis=0))
+        by_context = (net.position[:, None] * back).reshape(-1, RANK).take(place, axis=0)
+        self._adagrad(1, rows, gradient[:, :RANK])
+        self._adagrad(3, rows, gradient[:, RANK])
+        self._adagrad(0, units, _sums(by_context, starts))
         self._adagrad(2, slice(None), by_position)
         self.steps += 1
 
 
+def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each of ``first`` on; two columns at a time, as the parts of a complex number."""
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
+
+
 def _groups(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by unit, the units that occur, where each begins in that order)."""
     order = np.argsort(unit.astype(np.int16), kind="stable")

@@ -440,3 +440,20 @@ def test_licences_of_nothing(spark):
     assert license_scan.license_scan(frame(spark, [])).collect() == []
     rows = [(1, None, None, None, None), (2, "word", None, None, None), (2, "word", None, None, None)]
     assert [(r.licence, r.dice) for r in license_scan.license_scan(frame(spark, rows)).collect()] == [(None, 0.0)] * 3
+
+
+def test_lm_scores_by_factors():
+    """Tables of exponentials give the softmax, also where the positions' peaks lie beyond the range of 32 bits."""
+    rng = np.random.default_rng(5)
+    net = lm_scoring.Network.start(np.zeros(0, np.uint64), rng.integers(1, 1000, lm_scoring.UNITS).astype(float))
+    net.position[:] = 1
+    net.context[1:3], net.context[0], net.target[1:3] = 0, 0, 0
+    net.context[1, 0], net.context[2, 0], net.target[1, 0], net.target[2, 0] = 28, -28, 1, -1
+    net.target[3:, 0] = 0
+    before = rng.integers(0, lm_scoring.UNITS, (3000, lm_scoring.CONTEXT)).astype(np.int32)
+    before[:700], before[700:1000] = [1, 1, 2, 2], [2, 1, 0, 0]
+    unit = rng.integers(0, lm_scoring.UNITS, len(before))
+    scores = (net.context.astype(float)[before] * net.position).sum(axis=1) @ net.target.T.astype(float) + net.bias
+    want = scores[np.arange(len(unit)), unit] - np.log(np.exp(scores).sum(axis=1))
+    assert np.abs(net._log10_by_factors(before, unit) - want / np.log(10)).max() < 1e-4
+    assert np.abs(net.log10(before, unit) - net.log10(before)[np.arange(len(unit)), unit]).max() < 1e-4
