@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, drop
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -82,10 +82,10 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized, _ = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    sized, sized_path = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     words = min(max(1, total // SLOTS), BLOCK_WORDS)
-    targets, _ = cut(source_targets(sized, words))
+    targets, targets_path = cut(source_targets(sized, words))
     slots = (targets.agg(F.max("slots")).first()[0] or 0) if total else 0
 
     key = F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string")))
@@ -96,10 +96,13 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
     parts = parts.withColumn("from", F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     parts = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "p.part", "p.from", "t.sid", "t.source_size", "t.target", "t.words")
     rows = rows.alias("r").join(parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part")))
-    rows = rows.select("r.doc_id", "r.source", "r.size", "p.part", "r.row", "p.sid", "p.source_size", "p.target", "p.words", (F.col("p.from") + F.col("r.start")).alias("start"))
+    # Tables, so that the places are computed once and no plan holds all: adaptive execution plans what is left anew after every stage, on the driver.
+    rows, _ = cut(rows.select("r.doc_id", "r.source", "r.size", "p.part", "r.row", "p.sid", "p.source_size", "p.target", "p.words", (F.col("p.from") + F.col("r.start")).alias("start")))
+    drop(spark, sized_path)
 
     taken = schedule(spark, slots, targets).join(targets.select("sid", "blocks"), "sid").where(F.col("rank") < CAP * F.col("blocks"))
-    taken = taken.groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
+    taken, _ = cut(taken.groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times")))
+    drop(spark, targets_path)
     first, last = F.floor(F.col("start") / F.col("words")), F.floor((F.col("start") + F.col("size") - 1) / F.col("words"))
     spread = rows.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     share = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest("start", F.col("block") * F.col("words"))

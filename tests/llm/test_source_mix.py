@@ -71,3 +71,9 @@ def test_ranks_are_without_gaps(spark):
     sized = spark.createDataFrame([("a", 500), ("b", 300), (None, 200)], "source string, size long")
     ranks = M.schedule(spark, 3000, M.source_targets(sized, 7)).groupBy("sid").agg({"rank": "max", "*": "count"}).collect()
     assert all(r["max(rank)"] + 1 == r["count(1)"] for r in ranks) and sum(r["count(1)"] for r in ranks) == 3000
+
+
+def test_no_plan_holds_all_steps(spark):
+    """A plan is planned anew after each of its stages, by the driver: its size counts twice."""
+    out = M.mix_sources(frame(spark, corpus(40)))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 6
