@@ -104,7 +104,7 @@ def peak(series: DataFrame) -> DataFrame:
 
 
 def rejections(dead_letter: DataFrame, project_id: int, since: datetime | None = None, until: datetime | None = None, reason: str | None = None, limit: int = FEED_DEFAULT, offset: int = 0) -> DataFrame:
-    """A page of rejected events, newest first."""
+    """A page of rejected events, newest first; those of one instant by all else that a row has, so that pages agree."""
     if not 0 <= offset <= OFFSET_MAX:
         raise ValueError(f"offset is 0 to {OFFSET_MAX}")
     rows = dead_letter.where(F.col("project_id") == project_id)
@@ -114,7 +114,7 @@ def rejections(dead_letter: DataFrame, project_id: int, since: datetime | None =
         rows = rows.where(F.col("received_at") <= instant(until))
     if reason is not None:
         rows = rows.where(F.col("reason") == reason)
-    page = rows.select("received_at", "reason", "detail", "payload").orderBy(F.col("received_at").desc(), "reason", "payload")
+    page = rows.select("received_at", "reason", "detail", "payload").orderBy(F.col("received_at").desc(), "reason", "payload", "detail")
     return page.offset(offset).limit(_limit(limit, REJECTIONS_MAX))
 
 

@@ -5,6 +5,7 @@ from conftest import at
 
 from footfall.operators import rollups
 from footfall.plans import catalog, events, person
+from footfall.sources import ingest
 from footfall.sources.export import export_person
 
 
@@ -51,6 +52,15 @@ def test_rejections(spark):
     assert events.rejections(rows, 2).count() == 0
 
 
+def test_rejections_whose_cut_payloads_are_equal_have_one_order(spark):
+    """Bodies that differ only beyond what a payload keeps are rejected for different reasons at one instant."""
+    bodies = [f'{{"pad":"{"x" * 9000}",{rest}}}' for rest in ('"type":"track"', '"type":"none"')]
+    for order in (bodies, bodies[::-1]):
+        raw = spark.createDataFrame([(1, at("08-01 00:00"), "Mozilla/5.0", b) for b in order], ingest.RAW).coalesce(1)
+        pages = [events.rejections(ingest.ingest(raw).dead_letter, 1, limit=1, offset=n).collect() for n in (0, 1)]
+        assert [r.detail for page in pages for r in page] == ["message_id", "type"]
+
+
 def test_catalogs(make):
     rows = make.events(make.event("buy", "08-01 00:00", "d", props={"kind": "a"}, nums={"n": 1}), make.event("buy", "08-02 00:00", "d", props={"n": "x"}), make.event("bare", "08-01 00:00", "d"), make.event("$identify", "08-01 00:00", "d", "u", {"plan": "pro"}))
     schema = rollups.event_schema(rows)
