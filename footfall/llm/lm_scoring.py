@@ -48,7 +48,9 @@ VOCABULARY = 400_000
 #: Distinct tokens a task counts before it passes them on.
 HELD = 1_500_000
 #: Tokens scored at once, by products of scores and by tables of their exponentials.
-ROWS, FACTORED = 512, 256
+ROWS, FACTORED = 512, 128
+#: Columns of a target vector, its bias and a zero (an even number); vectors of a line and tokens of a part, in which a minibatch is worked on.
+WIDE, LINE, PART = RANK + 2, 32, 512
 _MASK = np.uint64(255)
 
 
@@ -157,22 +159,32 @@ class Network:
         """
         parts = [(self.context * p) @ self.target.T for p in self.position]
         parts[0] += self.bias
-        most = [x.max(axis=1) for x in parts]
-        tables = [np.exp(x - m[:, None]) for x, m in zip(parts, most, strict=True)]
-        total = np.empty(len(before), np.float32)
+        for x in parts:
+            x -= x.max(axis=1, keepdims=True)
+        tables = [np.exp(x) for x in parts]
+        # By the two units before: the product of their rows is made once for all tokens after them.
+        order, pair, first = _groups(before[:, 0].astype(np.int64) * UNITS + before[:, 1])
+        which = np.repeat(np.arange(len(pair)), np.diff(first, append=len(order)))
+        last, second = pair // UNITS, pair % UNITS
+        rest, by_order = before[order, 2:].T.astype(np.intp), np.empty(len(before), np.float32)
         whole, one = (np.empty((FACTORED, UNITS), np.float32) for _ in range(2))
-        for lo in range(0, len(before), FACTORED):
-            some = before[lo : lo + FACTORED]
-            a, b = whole[: len(some)], one[: len(some)]
-            np.take(tables[0], some[:, 0], axis=0, out=a, mode="clip")
-            for j in range(1, CONTEXT):
-                np.take(tables[j], some[:, j], axis=0, out=b, mode="clip")
+        for lo in range(0, len(order), FACTORED):
+            at = which[lo : lo + FACTORED]
+            a, b = whole[: len(at)], one[: len(at)]
+            pairs = slice(at[0], at[-1] + 1)
+            product = tables[0].take(last[pairs], axis=0)
+            product *= tables[1].take(second[pairs], axis=0)
+            product.take(at - at[0], axis=0, out=a, mode="clip")
+            for j in range(2, CONTEXT):
+                tables[j].take(rest[j - 2, lo : lo + FACTORED], axis=0, out=b, mode="clip")
                 if j < CONTEXT - 1:
                     a *= b
-            np.einsum("ij,ij->i", a, b, out=total[lo : lo + len(some)])
+            np.vecdot(a, b, out=by_order[lo : lo + len(at)])
+        total = np.empty_like(by_order)
+        total[order] = by_order
         far = np.flatnonzero(total < 1e-25)
         total[far] = 1
-        out = sum(x[before[:, j], unit] - m[before[:, j]] for j, (x, m) in enumerate(zip(parts, most, strict=True))).astype(np.float64)
+        out = sum(x.ravel().take(before[:, j] * UNITS + unit) for j, x in enumerate(parts)).astype(np.float64)
         out = (out - np.log(total)) / np.log(10)
         for lo in range(0, len(far), UNITS - 1):
             some = far[lo : lo + UNITS - 1]
@@ -181,78 +193,102 @@ class Network:
 
 
 class Trainer:
-    """Noise-contrastive steps on a network of its own."""
+    """Noise-contrastive steps on a network of its own, whose target vectors and biases are columns of one table."""
 
     def __init__(self, start: Network, seed: int):
-        self.net = Network(start.top, *(x.copy() for x in (start.context, start.target, start.position, start.bias)), start.noise)
+        self.output = np.zeros((UNITS, WIDE), np.float32)
+        self.output[:, :RANK], self.output[:, RANK] = start.target, start.bias
+        self.net = Network(start.top, start.context.copy(), self.output[:, :RANK], start.position.copy(), self.output[:, RANK], start.noise)
         self.rng = np.random.default_rng(seed)
         self.cumulated = np.cumsum(start.noise)
         self.log_noise = np.log(RATIO * start.noise).astype(np.float32)
-        self.squares = [np.full_like(x, 1e-6) for x in (start.context, start.target, start.position, start.bias)]
+        self.squares = [np.full_like(x, 1e-6) for x in (start.context, self.output, start.position)]
         self.steps = self.tokens = 0
+        # Arrays of a step, made once. A column of ones meets the biases.
+        self.seen, self.weighed = (np.zeros((CONTEXT, BATCH, RANK), np.float32) for _ in range(2))
+        self.plain, self.back = (np.zeros((BATCH, RANK), np.float32) for _ in range(2))
+        self.h = np.zeros((BATCH, WIDE), np.float32)
+        self.h[:, RANK] = 1
+        self.line = np.zeros((CONTEXT, LINE, RANK), np.float32)
+        self.odds = np.zeros((PART, NOISE), np.float32)
 
     def learn(self, unit: np.ndarray, before: np.ndarray) -> None:
         """Minibatches of all tokens given, in a random order."""
         order = self.rng.permutation(len(unit))
-        for lo in range(0, len(order), BATCH):
-            some = order[lo : lo + BATCH]
-            self._step(unit[some], before[some])
+        unit, before = unit[order].astype(np.int32), before[order].T
+        drawn = self.rng.random((-(-len(order) // BATCH), NOISE))
+        drawn = np.minimum(np.searchsorted(self.cumulated, drawn), UNITS - 1).astype(np.int32)
+        for k, lo in enumerate(range(0, len(order), BATCH)):
+            self._step(unit[lo : lo + BATCH], np.ascontiguousarray(before[:, lo : lo + BATCH]), drawn[k])
         self.tokens += len(order)
 
-    def _adagrad(self, k: int, rows, gradient: np.ndarray) -> None:
-        net = self.net
-        squares = self.squares[k][rows] + gradient**2
-        self.squares[k][rows] = squares
-        (net.context, net.target, net.position, net.bias)[k][rows] += RATE * gradient / np.sqrt(squares)
+    def _adagrad(self, values: np.ndarray, squares: np.ndarray, rows, sums: np.ndarray) -> None:
+        gradient = np.zeros_like(values)
+        gradient[rows] = sums
+        squares += gradient * gradient
+        gradient *= RATE
+        gradient /= np.sqrt(squares)
+        values += gradient
 
-    def _step(self, unit: np.ndarray, before: np.ndarray) -> None:
+    def _step(self, unit: np.ndarray, before: np.ndarray, drawn: np.ndarray) -> None:
         net, n = self.net, len(unit)
-        drawn = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), UNITS - 1)
-        seen = [net.context.take(before[:, j], axis=0) for j in range(CONTEXT)]
-        h = seen[0] * net.position[0]
-        for e, p in zip(seen[1:], net.position[1:], strict=True):
-            h += e * p
-        own, other = net.target.take(unit, axis=0), net.target.take(drawn, axis=0)
-        data = np.einsum("ij,ij->i", h, own) + (net.bias - self.log_noise)[unit]
-        noise = h @ other.T
-        noise += (net.bias - self.log_noise)[drawn]
+        h, back = self.h[:n], self.back[:n]
+        # What has a factor for each position is worked on in lines of many rows, as numpy is slow on short ones.
+        for e, b in zip(self.seen, before, strict=True):
+            net.context.take(b, axis=0, out=e[:n], mode="clip")
+        self.line[:] = net.position[:, None]
+        line = self.line.reshape(CONTEXT, -1)
+        np.einsum("jkl,jl->kl", _lines(self.seen), line, out=_lines(self.plain))
+        h[:, :RANK] = self.plain[:n]
+        own, other = self.output.take(unit, axis=0), self.output.take(drawn, axis=0)
+        data = np.einsum("ij,ij->i", h, own) - self.log_noise[unit]
         up = 1 / (1 + np.exp(np.clip(data, -30, 30))) / n
-        # In place, as these are the largest arrays of a step.
-        np.negative(np.clip(noise, -30, 30, out=noise), out=noise)
-        np.exp(noise, out=noise)
-        noise += 1
-        down = np.divide(-np.float32(RATIO / NOISE / n), noise, out=noise)
-        back = down @ other
+        # The gradient of noise is scale / (1 + exp(-score)) = scale / 2 * (1 + tanh(score / 2)).
+        scale = -RATIO / NOISE / n
+        other[:, RANK] -= self.log_noise[drawn]
+        half, other = np.ascontiguousarray(other.T) * 0.5, other[:, :RANK] * (scale / 2)
+        total = np.zeros((NOISE, WIDE), np.float32)
+        for lo in range(0, n, PART):
+            some = h[lo : lo + PART]
+            down = np.matmul(some, half, out=self.odds[: len(some)])
+            np.tanh(down, out=down)
+            down += 1
+            np.matmul(down, other, out=back[lo : lo + PART])
+            total += down.T @ some
+        gradient = np.empty((n + NOISE, WIDE), np.float32)
+        np.multiply(up[:, None], h, out=gradient[:n])
+        np.multiply(total, scale / 2, out=gradient[n:])
         own *= up[:, None]
-        back += own
-        # Gradients of one unit are added up in order of units; 16 bits, so that the sort is by digits.
+        back += own[:, :RANK]
+        self.back[n:] = 0
         order, rows, first = _groups(np.concatenate([unit, drawn]))
-        gradient = np.zeros((n + NOISE, RANK + 2), np.float32)
-        np.multiply(up[:, None], h, out=gradient[:n, :RANK])
-        gradient[n:, :RANK] = down.T @ h
-        gradient[:n, RANK], gradient[n:, RANK] = up, down.sum(axis=0)
-        gradient = _sums(gradient.take(order, axis=0), first)
-        by_position = np.stack([np.einsum("ij,ij->j", e, back) for e in seen])
-        place, units, starts = _groups(before.T.ravel())
-        by_context = (net.position[:, None] * back).reshape(-1, RANK).take(place, axis=0)
-        self._adagrad(1, rows, gradient[:, :RANK])
-        self._adagrad(3, rows, gradient[:, RANK])
-        self._adagrad(0, units, _sums(by_context, starts))
-        self._adagrad(2, slice(None), by_position)
+        by_position = np.einsum("jkl,kl->jl", _lines(self.seen), _lines(self.back)).reshape(CONTEXT, -1, RANK).sum(axis=1)
+        place, units, starts = _groups(before.ravel())
+        np.multiply(_lines(self.back), line[:, None], out=_lines(self.weighed))
+        by_context = self.weighed[:, :n].reshape(-1, RANK).take(place, axis=0)
+        self._adagrad(self.output, self.squares[1], rows, _sums(gradient.take(order, axis=0), first))
+        self._adagrad(net.context, self.squares[0], units, _sums(by_context, starts))
+        self._adagrad(net.position, self.squares[2], slice(None), by_position)
         self.steps += 1
 
 
+def _lines(x: np.ndarray) -> np.ndarray:
+    """The vectors of each BATCH, LINE of them in a row."""
+    return x.reshape(*x.shape[:-2], -1, LINE * RANK)
+
+
 def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of the rows from each of ``first`` on; two columns at a time, as the parts of a complex number."""
     return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
 
 
-def _groups(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by unit, the units that occur, where each begins in that order)."""
-    order = np.argsort(unit.astype(np.int16), kind="stable")
-    unit = unit[order]
-    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-    return order, unit[first], first
+def _groups(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by code, the codes that occur, where each begins in that order); a code and its place are sorted as one number of the code's type."""
+    bits = len(code).bit_length()
+    both = np.sort((code << bits) | np.arange(len(code), dtype=code.dtype))
+    order, code = both & ((1 << bits) - 1), both >> bits
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return order, code[first], first
 
 
 def _train(start: Network):
@@ -361,8 +397,11 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 key, doc, first = keys_of(raw, at)
                 whose, unit, before = net.sequence(key, doc, m)
                 score = np.bincount(whose, net.log10(before, unit), m)
-                place = np.minimum(np.searchsorted(key_table, key), max(0, len(key_table) - 1))
-                known = key_table[place] == key if len(key_table) else np.zeros(len(key), bool)
+                # Each distinct key is looked up once, and in order.
+                kinds, kind = np.unique(key, return_inverse=True)
+                place = np.minimum(np.searchsorted(key_table, kinds), max(0, len(key_table) - 1))
+                known = (key_table[place] == kinds)[kind] if len(key_table) else np.zeros(len(key), bool)
+                place = place[kind]
                 d, c, k = doc[known], c_table[place[known]] if len(key_table) else np.zeros(0), (key[known] & _MASK).astype(np.int64)
                 base = np.bincount(d, np.log10(c + 0.1) - scale, m) + end_base
                 classed = (unit[np.delete(np.arange(len(unit)), first[1:] + np.arange(m))] > TOP)[known]

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -457,3 +458,60 @@ def test_lm_scores_by_factors():
     want = scores[np.arange(len(unit)), unit] - np.log(np.exp(scores).sum(axis=1))
     assert np.abs(net._log10_by_factors(before, unit) - want / np.log(10)).max() < 1e-4
     assert np.abs(net.log10(before, unit) - net.log10(before)[np.arange(len(unit)), unit]).max() < 1e-4
+
+
+def plain_learn(net, unit, before):
+    """What a trainer does to ``net`` with the tokens given, written as the formulas are."""
+    lm, n_all = lm_scoring, len(unit)
+    squares = [np.full_like(x, 1e-6) for x in (net.context, net.target, net.position, net.bias)]
+    rng = np.random.default_rng(4)
+    order, log_noise = rng.permutation(n_all), np.log(lm.RATIO * net.noise).astype(np.float32)
+
+    def adagrad(k, rows, gradient):
+        squares[k][rows] += gradient**2
+        (net.context, net.target, net.position, net.bias)[k][rows] += lm.RATE * gradient / np.sqrt(squares[k][rows])
+
+    def summed(unit, rows):
+        order = np.argsort(unit.astype(np.int16), kind="stable")
+        unit = unit[order]
+        first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        return unit[first], np.add.reduceat(rows[order].view(np.complex64), first, axis=0).view(np.float32)
+
+    for lo in range(0, n_all, lm.BATCH):
+        u, b = unit[order[lo : lo + lm.BATCH]], before[order[lo : lo + lm.BATCH]]
+        n, drawn = len(u), np.minimum(np.searchsorted(np.cumsum(net.noise), rng.random(lm.NOISE)), lm.UNITS - 1)
+        seen = [net.context[b[:, j]] for j in range(lm.CONTEXT)]
+        h = sum(e * p for e, p in zip(seen, net.position, strict=True))
+        own, other = net.target[u], net.target[drawn]
+        up = 1 / (1 + np.exp(np.clip((h * own).sum(axis=1) + (net.bias - log_noise)[u], -30, 30))) / n
+        down = -np.float32(lm.RATIO / lm.NOISE / n) / (1 + np.exp(-np.clip(h @ other.T + (net.bias - log_noise)[drawn], -30, 30)))
+        back = down @ other + up[:, None] * own
+        zero = np.zeros((n + lm.NOISE, 1), np.float32)
+        gradient = np.hstack([np.concatenate([up[:, None] * h, down.T @ h]), np.concatenate([up, down.sum(axis=0)])[:, None], zero])
+        rows, sums = summed(np.concatenate([u, drawn]), gradient)
+        units, by_context = summed(b.T.ravel(), (net.position[:, None] * back).reshape(-1, lm.RANK))
+        by_position = np.stack([(e * back).sum(axis=0) for e in seen])
+        adagrad(1, rows, sums[:, : lm.RANK])
+        adagrad(3, rows, sums[:, lm.RANK])
+        adagrad(0, units, by_context)
+        adagrad(2, slice(None), by_position)
+
+
+def test_lm_steps_are_the_plain_ones_with_few_new_arrays():
+    """The same parameters as by the formulas, also from a short last minibatch; the large arrays of a step are made once."""
+    rng = np.random.default_rng(7)
+    truth = rng.dirichlet(np.full(lm_scoring.UNITS, 0.1))
+    unit = rng.choice(lm_scoring.UNITS, 20 * lm_scoring.BATCH + 77, p=truth)
+    before = np.stack([np.roll(unit, j) for j in range(1, lm_scoring.CONTEXT + 1)], 1).astype(np.int32)
+    start = lm_scoring.Network.start(np.zeros(0, np.uint64), np.bincount(unit, minlength=lm_scoring.UNITS).astype(float))
+    trainer, plain = lm_scoring.Trainer(start, 4), lm_scoring.Trainer(start, 4).net
+    trainer.learn(unit, before)
+    plain_learn(plain, unit, before)
+    for name in ("context", "target", "position", "bias"):
+        a, b = getattr(trainer.net, name), getattr(plain, name)
+        assert np.abs(a - b).max() < 1e-4 and np.abs(a - getattr(start, name)).max() > 0.1
+    tracemalloc.start()
+    trainer.learn(unit[: lm_scoring.BATCH], before[: lm_scoring.BATCH])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1_600_000
